@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, sharding
-from .shared import read
+from . import chat, decontam, langid, mixing, repetition, sharding
+from .shared import fold, read
 
 SHARDS = [f"shard-{k:05d}" for k in range(sharding.N_SHARDS)]
 
@@ -19,15 +19,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold(F.col("doc_id"), 5) == 0
+    model = langid.learn(docs.filter(~held))
+    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, k, r, r"\### Assistant: </turn> ok") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return chat.digest(chat.format_conversations(rows))
 
 
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(repetition.coverage(read(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op7_chat, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_language_id, op7_chat, op9_repetition, op10_decontamination)}
 ORACLES: dict[str, str] = {}
