@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, repetition, sharding
+from . import chat, decontam, langid, mixing, quality, repetition, sharding, tokens
 from .shared import fold, read
 
 SHARDS = [f"shard-{k:05d}" for k in range(sharding.N_SHARDS)]
@@ -15,6 +15,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 5)
+    out = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), part != 0, part == 1)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "score", "predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read(spark, sf_dir, "documents"))
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(repetition.coverage(read(spark, sf_dir, "documents")))
 
@@ -40,5 +50,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_language_id, op7_chat, op9_repetition, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_mixing, op4_language_id, op7_chat, op8_token_counts, op9_repetition, op10_decontamination)}
 ORACLES: dict[str, str] = {}
