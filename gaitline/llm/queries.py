@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, mixing, quality, repetition, sharding, tokens
+from . import chat, decontam, jaccard, langid, lm, mixing, quality, repetition, sharding, tokens
 from .shared import fold, read
 
 SHARDS = [f"shard-{k:05d}" for k in range(sharding.N_SHARDS)]
@@ -36,6 +36,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm.score(docs, fold(F.col("doc_id"), 7) == 2)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, k, r, r"\### Assistant: </turn> ok") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
@@ -54,5 +59,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_mixing, op4_language_id, op5_jaccard_join, op7_chat, op8_token_counts, op9_repetition, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_mixing, op4_language_id, op5_jaccard_join, op6_lm_scoring, op7_chat, op8_token_counts, op9_repetition, op10_decontamination)}
 ORACLES: dict[str, str] = {}
