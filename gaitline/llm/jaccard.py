@@ -8,10 +8,10 @@ subsets are indexed by hash. What comes out is verified on the whole shingle set
 1. One pass over the texts sends the segments' hashes in packets by hash range. What no other document of
    the task or of another task has is counted for its document; one whose differing segments are more than
    any partner allows links with nothing and goes. Copies in other tasks count as others, which keeps more.
-2. The rest, one document for each set, is indexed. In each bucket of equal hashes a pivot is verified against
-   the others, components are formed, and only buckets that still hold several components go on, at last
-   with all their pairs across components, each set probing with its rarest segments. No pairs within a component
-   are emitted, and no bucket is cut short.
+2. The rest, one document for each set, is indexed. Each set is verified against the one at an end of a bucket that
+   it meets most often, components are formed, and only buckets that hold several components go on: with
+   their pivots, and at last with all their pairs across components, each set probing with its rarest segments.
+   No pairs within a component are emitted, and no bucket is cut short.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def plan(upto: int, percent: int) -> list[tuple[int, int, int, int]]:
 
 
 def shingle_sets(w: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, shingle) of the distinct shingles, sorted by both; a text of fewer words has its whole sequence as one."""
+    """(text, shingle) of the distinct shingles, sorted by text; a text of fewer words has its whole sequence as one."""
     count = w.counts()
     key, whole = grams(w.hash, w.doc, n)
     docs, keys = [w.doc[: len(key)][whole]], [key[whole]]
@@ -106,12 +106,16 @@ def shingle_sets(w: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
             g, _ = grams(w.hash, w.doc, k)
             docs.append(few)
             keys.append(mix(g[begin[few]] + _U(k)))
-    doc, keys = np.concatenate(docs), np.concatenate(keys)
-    order = np.lexsort((keys, doc))
-    doc, keys = doc[order], keys[order]
+    doc, keys = np.concatenate(docs).astype(np.int64), np.concatenate(keys)
+    if len(docs) > 1:
+        order = np.argsort(doc, kind="stable")
+        doc, keys = doc[order], keys[order]
+    both = mix(keys + doc.astype(np.uint64) * _U(0xA24BAED4963EE407))
+    order = np.argsort(both)
+    again = both[order][1:] == both[order][:-1]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new].astype(np.int64), keys[new]
+    new[order[1:][again]] = False
+    return doc[new], keys[new]
 
 
 def class_of(doc: np.ndarray, keys: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +146,11 @@ def segments(doc: np.ndarray, keys: np.ndarray, size: np.ndarray, percent: int)
         slot, x = slot_of[doc[rows]], shingles[rows]
         seg = ((mix(x + _U(0x9E3779B97F4A7C15 * (b + 1) & 0xFFFFFFFFFFFFFFFF)) >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
         cell = slot * m + seg
-        order = np.argsort(cell, kind="stable")
-        cell, x = cell[order], x[order]
-        begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        length = np.diff(np.append(begin, len(cell)))
-        total = np.add.reduceat(x, begin)
-        at = cell[begin]
+        held = np.bincount(cell, minlength=len(chosen) * m)
+        sums = np.zeros(len(held), np.uint64)
+        np.add.at(sums, cell, x)
+        at = np.flatnonzero(held)
+        length, total = held[at], sums[at]
         salt = mix((at % m).astype(np.uint64) + _U((b + 1) << 32))
         h = np.where(size[chosen] <= hi, (100 - percent) * size[chosen] // percent, differing(hi, percent))
         filled = np.bincount(at // m, minlength=len(chosen))
@@ -156,18 +159,16 @@ def segments(doc: np.ndarray, keys: np.ndarray, size: np.ndarray, percent: int)
             sent, owner = [mix(total ^ salt)], [at // m]
         else:
             free, void = m - h // 2, m - np.bincount((at // m)[length >= 2], minlength=len(chosen))
-            rest = (np.repeat(total, length) - x, np.repeat(length, length))
-            many = rest[1] > 1
-            sent = [mix(total ^ salt), mix(rest[0][many] ^ np.repeat(salt, length)[many])]
-            owner = [at // m, (cell // m)[many]]
+            many = held[cell] > 1
+            rest, home = sums[cell][many] - x[many], cell[many]
+            sent = [mix(total ^ salt), mix(rest ^ mix((home % m).astype(np.uint64) + _U((b + 1) << 32)))]
+            owner = [at // m, home // m]
         bad = void >= free
         if m == 1:
             bad = np.zeros(len(chosen), bool)
         if bad.any():  # their empty segments, and those that one deletion empties, are hashes as well
             s = np.repeat(np.flatnonzero(bad), m)
             k = np.tile(np.arange(m), int(bad.sum()))
-            held = np.zeros(len(chosen) * m, np.int64)
-            held[at] = length
             none = held[s * m + k] <= (0 if distance == 1 else 1)
             sent.append(mix(mix(k[none].astype(np.uint64) + _U((b + 1) << 32)) ^ _U(0)))
             owner.append(s[none])
@@ -293,10 +294,23 @@ def sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     return through_disk(back.groupBy("chunk").applyInArrow(_alive, "doc_id long, cls long, n long, alive boolean"), "sets")
 
 
+#: Shingles counted in so many parts of the universe, for a bound on the distance of two sets before theirs are sent.
+SPREAD = 64
+#: Rounds of pivots before all pairs that are left; fewer where a round finds nothing.
+PIVOT_ROUNDS = 8
+#: Rows of pairs, labels or hashes (16 to 24 bytes each) that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def _sided(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _survivors(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """cls, n, shingles binary (rising uint64): the sets that may link, once each."""
-    reps = found.filter("alive and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(reps, F.col("doc_id") == F.col("rep")).select("cls", "text")
+    """cls, n, spread array<int>, shingles array<long>: the sets that may link, once each."""
+    reps = through_disk(found.filter("alive and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(_sided(reps), F.col("doc_id") == F.col("rep")).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,76 +320,74 @@ def _survivors(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Dat
             for w in words_of(as_strings(b.column(1)), lower=True):
                 doc, keys = shingle_sets(w)
                 cls, size = class_of(doc, keys, w.n_docs)
-                ends = np.cumsum(size)
-                # a repeated id may bring another text; a set comes once
-                kept = [k for k in range(w.n_docs) if cls[k] == wanted[w.first + k]]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array(size[kept]), pa.array([keys[ends[k] - size[k] : ends[k]].tobytes() for k in kept], pa.binary())], ["cls", "n", "shingles"])
+                kept = cls == wanted[w.first : w.first + w.n_docs]  # a repeated id may bring another text
+                spread = np.bincount(doc * SPREAD + (keys >> _U(58)).astype(np.int64), minlength=w.n_docs * SPREAD).reshape(-1, SPREAD)[kept]
+                own = keys[kept[doc]].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size[kept]))).astype(np.int32)), pa.array(own))
+                spreads = pa.ListArray.from_arrays(pa.array(np.arange(0, spread.size + 1, SPREAD, dtype=np.int32)), pa.array(spread.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array(size[kept]), spreads, lists], ["cls", "n", "spread", "shingles"])
 
-    return through_disk(some.mapInArrow(run, "cls long, n long, shingles binary").dropDuplicates(["cls"]), "shingles")
+    out = through_disk(some.mapInArrow(run, "cls long, n long, spread array<int>, shingles array<long>"), "shingles")
+    rows, sets_ = out.agg(F.count(F.lit(1)), F.countDistinct("cls")).first()
+    return out if rows == sets_ else through_disk(out.dropDuplicates(["cls"]), "shingles")
 
 
 def _index(survivors: DataFrame, percent: int) -> DataFrame:
-    """sig, cls, band, spare: the segments' hashes. spare: how many of the set's hashes in the band need not be probed,
-    negative where all must be.
+    """sig, band, spare and the other columns of survivors but the sets: the segments' hashes. spare: how many of the set's
+    hashes in the band need not be probed.
     """
+    kept = [c for c in survivors.columns if c not in ("n", "spread", "shingles")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, blobs = np.array(b.column(0)), b.column(2).to_pylist()
-            for at in range(0, len(blobs), 512):
-                keys = [np.frombuffer(x, np.uint64) for x in blobs[at : at + 512]]
-                size = np.array([len(k) for k in keys])
-                doc = np.repeat(np.arange(len(keys)), size)
-                for band, (texts, need, hashes, slot) in enumerate(segments(doc, np.concatenate(keys), size, percent)):
+            for at in range(0, b.num_rows, 512):
+                some = b.slice(at, 512)
+                sets_ = some.column(some.num_columns - 1)
+                size = np.array(sets_.value_lengths())
+                doc = np.repeat(np.arange(len(size)), size)
+                for band, (texts, need, hashes, slot) in enumerate(segments(doc, np.array(sets_.flatten()).view(np.uint64), size, percent)):
+                    row = pa.array(texts[slot])
                     # exact segments: a partner shares at least `need` of them, so all but need - 1 must be probed
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(cls[at : at + 512][texts][slot]), pa.array(np.full(len(slot), band, np.int32)), pa.array((need[slot] - 1).astype(np.int32))], ["sig", "cls", "band", "spare"])
-
-    return survivors.mapInArrow(run, "sig long, cls long, band int, spare int")
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(slot), band, np.int32)), pa.array((need[slot] - 1).astype(np.int32)), *(some.column(k).take(row) for k in range(len(kept)))], ["sig", "band", "spare", *kept])
 
+    return survivors.select(*kept, "shingles").mapInArrow(run, "sig long, band int, spare int, " + ", ".join(f"{c} long" for c in kept))
 
-def _verify(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    left = survivors.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = survivors.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    sizes = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    both = sizes.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(p, q)
-                same = int((p[np.minimum(at, len(p) - 1)] == q).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+def _near(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, c) that may link by the sets' sizes and spreads: what these differ in is at most the sets' distance."""
+    light = survivors.select("cls", "n", "spread")
+    a, b = (light.select(*(F.col(c).alias(f"{c}_{x}") for c in light.columns)) for x in "ab")
+    both = pairs.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
+    apart = F.aggregate(F.zip_with("spread_a", "spread_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    fits = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return through_disk(both.filter(fits).select("a", "b", "c"), "near")
 
 
-def _probing(index: DataFrame) -> DataFrame:
-    """index rows with c, their bucket's size, and probe: whether the row is one of those its set probes with."""
-    sizes = index.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
-    counted = index.join(sizes, "sig")
-    one = W.partitionBy("cls", "band")
-    # the commonest `spare` of them aren't probed with; hashes that went for being alone were not among the shared
-    return counted.withColumn("probe", F.row_number().over(one.orderBy(F.desc("c"), "sig")) > F.col("spare"))
+def _verify(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, of classes that link, by their whole sets. Each brings one set to the other's place."""
+    near = pairs
+    whole = survivors.select("cls", "n", "shingles")
+    sent = whole.join(_sided(near), F.col("cls") == F.col("b")).select("a", "b", F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    pivots = whole.join(_sided(through_disk(near.select("a").distinct(), "pivots")).withColumnRenamed("a", "p"), F.col("cls") == F.col("p"), "left_semi")
+    both = sent.join(pivots, F.col("a") == F.col("cls"))
+    same = F.size(F.array_intersect("shingles", "sb"))
+    return through_disk(both.filter(100 * same >= percent * (F.col("n") + F.col("nb") - same)).select("a", "b"), "links")
 
 
 def _pairs(index: DataFrame, apart: bool) -> DataFrame:
-    """All pairs a < b of a bucket where one probes; apart: only those of different labels."""
-    left = _probing(index)
-    probes = left.filter("probe").select("sig", F.col("cls").alias("a"), *([F.col("label").alias("la")] if apart else []))
-    others = index.select("sig", F.col("cls").alias("b"), *([F.col("label").alias("lb")] if apart else []))
+    """All pairs a < b of a bucket where one probes; apart: only those of different labels.
+
+    A set probes with its rarest hashes, all but `spare` of them; hashes that are gone were in no bucket with another.
+    """
+    sizes = index.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    rank = F.row_number().over(W.partitionBy("cls", "band").orderBy(F.desc("c"), "sig"))
+    more = ["label"] if apart else []
+    probes = index.join(sizes, "sig").withColumn("rank", rank).filter("rank > spare").select("sig", F.col("cls").alias("a"), *(F.col(c).alias("la") for c in more))
+    others = index.select("sig", F.col("cls").alias("b"), *(F.col(c).alias("lb") for c in more))
     both = probes.join(others, "sig").filter("a <> b" + (" and la <> lb" if apart else ""))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _shared(index: DataFrame) -> DataFrame:
-    """Rows of buckets with several sets, with pivot, the bucket's least set."""
-    least = index.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most")).filter("pivot < most").select("sig", "pivot")
-    return index.join(least, "sig")
-
-
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The whole join: (membership: doc_id, cls, n; pairs: a, b of linked classes, a < b).
 
@@ -383,50 +395,64 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     """
     found = sets(docs, doc_id, text, percent)
     survivors = _survivors(docs, found, doc_id, text)
-    index = through_disk(_shared(_index(survivors, percent)).drop("pivot"), "index")
-    return found.drop("alive"), _verify(_pairs(index, False), survivors, percent)
+    index = _index(survivors, percent)
+    shared = index.groupBy("sig").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y").select("sig")
+    return found.drop("alive"), _verify(_near(_pairs(through_disk(index.join(shared, "sig"), "index"), False).withColumn("c", F.lit(1)), survivors, percent).select("a", "b"), survivors, percent)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    total = tables[0]
+    for t in tables[1:]:
+        total = total.unionByName(t)
+    return total
 
 
 def _labels(edges: list[DataFrame]) -> DataFrame:
-    total = edges[0]
-    for e in edges[1:]:
-        total = total.unionByName(e)
-    return through_disk(components(total).withColumnRenamed("node", "cls"), "labels")
+    return through_disk(components(_all(edges)).withColumnRenamed("node", "cls"), "labels")
+
+
+def _mixed(index: DataFrame) -> DataFrame:
+    """The hashes whose buckets hold several labels."""
+    return index.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, c) the one with the largest c for each node: as many as there are nodes at most."""
+    ways = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "c").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "c"))
+    first = ways.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
+    return through_disk(first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "tried")
 
 
 def class_labels(docs: DataFrame, found: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """cls, label: sets that link with a different one, and their component."""
     survivors = _survivors(docs, found, doc_id, text)
-    index = through_disk(_shared(_index(survivors, percent)), "index")
 
-    # each set with the pivot that it shares most buckets with
-    counts = index.filter("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    first = counts.groupBy("cls").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
-    tried = through_disk(first.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), "tried")
-    edges = [through_disk(_verify(tried, survivors, percent), "links")]
+    # the ends of each bucket, which are random members: classes are hashes
+    ends = _index(survivors, percent).groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b")
+    tried = [_best(_near(ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), survivors, percent))]
+    edges = [_verify(tried[0], survivors, percent)]
     labels = _labels(edges)
 
-    def apart(rows: DataFrame) -> DataFrame:
-        """The rows with their labels, of buckets that hold several."""
-        named = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = named.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("sig")
-        return named.join(mixed, "sig")
-
-    # then with all its pivots in other components
-    left = through_disk(apart(index), "apart")
-    ends = labels.select(F.col("cls").alias("pivot"), F.col("label").alias("pivot_label"))
-    more = left.join(ends, "pivot", "left").filter(F.coalesce("pivot_label", "pivot") != F.col("label"))
-    more = more.select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = through_disk(more, "tried")
-    edges.append(through_disk(_verify(more, survivors, percent), "links"))
-    labels = _labels(edges)
+    # only buckets that hold several components go on
+    named = survivors.join(_sided(labels), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "shingles")
+    index = _index(named, percent)
+    left = through_disk(index.join(_sided(through_disk(_mixed(index), "mixed")), "sig"), "apart")
+
+    # each bucket's pivot, another one each round, with the others; each set with the one it meets most often
+    for k in range(1, PIVOT_ROUNDS + 1):
+        pivots = left.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "label", "cls")).alias("p")).select("sig", F.col("p.label").alias("pl"), F.col("p.cls").alias("pc"))
+        more = left.join(pivots, "sig").filter("label <> pl").groupBy(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        tried.append(_best(_near(more.join(_all(tried), ["a", "b"], "left_anti"), survivors, percent)))
+        edges.append(_verify(tried[-1], survivors, percent))
+        if edges[-1].isEmpty():
+            break
+        labels = _labels(edges)
+        named = left.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        left = through_disk(named.join(_mixed(named), "sig"), "apart")
 
     # at last all pairs across components
-    left = through_disk(apart(left.drop("label", "pivot")), "apart")
-    gone = tried.unionByName(more)
-    gone = gone.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _pairs(left, True).join(gone, ["a", "b"], "left_anti")
-    edges.append(through_disk(_verify(rest, survivors, percent), "links"))
+    rest = _near(_pairs(left, True).join(_all(tried), ["a", "b"], "left_anti").withColumn("c", F.lit(1)), survivors, percent)
+    edges.append(_verify(rest.select("a", "b"), survivors, percent))
     return _labels(edges)
 
 
