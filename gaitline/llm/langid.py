@@ -28,7 +28,7 @@ ROUNDS = 2
 #: Pseudo-words of the pooled distribution added to each language; probability of a character beyond the vocabulary.
 SMOOTHING, UNKNOWN = 2000.0, 1e-7
 UNDETERMINED = "und"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 _letters = regex.compile(r"\p{L}+")
 
@@ -111,7 +111,9 @@ class Model:
     languages: list[str]
     pieces: dict[str, int]
     p: np.ndarray  # [piece, language]; then a row of zeros, and one for unknown characters
-    cache: dict = field(default_factory=dict, repr=False)
+    #: word hash -> row of `rows`, or -1 for a word without a letter
+    cache: dict[int, int] = field(default_factory=dict, repr=False)
+    rows: list[np.ndarray] = field(default_factory=list, repr=False)
 
     def log_scores(self, words: list[str]) -> np.ndarray:
         """[word, language]: natural logarithm of each word's probability."""
@@ -123,8 +125,8 @@ class Model:
         out = np.zeros((len(words), len(self.languages)))
         lattice, owners = Lattice(self.pieces), np.array(owner, np.int64)
         for n, rows in _by_length(parts).items():
-            for at in range(0, len(rows), 20_000):
-                some = rows[at : at + 20_000]
+            for at in range(0, len(rows), 5_000):
+                some = rows[at : at + 5_000]
                 z = forward(lattice.ids([parts[k] for k in some]), self.p)[:, n]
                 np.add.at(out, owners[some], np.log(np.maximum(z, 1e-300)))
         return out
@@ -187,19 +189,21 @@ def classify(texts: pa.LargeStringArray, model: Model) -> tuple[list[str], np.nd
         keys, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(cache) > CACHE_WORDS:
             cache.clear()
+            model.rows.clear()
         known = keys.tolist()
         new = [k for k, h in enumerate(known) if h not in cache]
         if new:
             raw = w.data.tobytes()
             words = [raw[s:e].decode().lower() for s, e in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
-            scores = model.log_scores(words)
-            for k, word, row in zip(new, words, scores):
-                cache[known[k]] = row if _letters.search(word) else None
-        none = np.zeros(len(model.languages))
-        rows = [cache[h] for h in known]
-        lettered = np.array([r is not None for r in rows], bool)
-        table = np.array([none if r is None else r for r in rows]).reshape(len(rows), len(model.languages))
-        any_letter = np.bincount(w.doc, lettered[inverse] if len(rows) else None, minlength=w.n_docs) > 0
+            held = sum(map(len, model.rows))
+            model.rows.append(model.log_scores(words))
+            cache.update((known[k], held + j if _letters.search(word) else -1) for j, (k, word) in enumerate(zip(new, words)))
+        if len(model.rows) > 1:
+            model.rows[:] = [np.concatenate(model.rows)]
+        at = np.array([cache[h] for h in known], np.int64)
+        lettered = at >= 0
+        table = model.rows[0][at] * lettered[:, None] if len(at) else np.zeros((0, len(model.languages)))
+        any_letter = np.bincount(w.doc[lettered[inverse]], minlength=w.n_docs) > 0
         total = np.stack([np.bincount(w.doc, table[inverse, c], minlength=w.n_docs) for c in range(len(model.languages))], 1) if model.languages else np.zeros((w.n_docs, 0))
         for has, row in zip(any_letter.tolist(), total):
             if not has or not model.languages:
