@@ -9,9 +9,10 @@ subsets are indexed by hash. What comes out is verified on the whole shingle set
    the task or of another task has is counted for its document; one whose differing segments are more than
    any partner allows links with nothing and goes. Copies in other tasks count as others, which keeps more.
 2. The rest, one document for each set, is indexed. Each set is verified against the one at an end of a bucket that
-   it meets most often, components are formed, and only buckets that hold several components go on: with
-   their pivots, and at last with all their pairs across components, each set probing with its rarest segments.
-   No pairs within a component are emitted, and no bucket is cut short.
+   it meets most often, components are formed, and only buckets that hold several components go on. Near
+   copies of one text are compared with the text in their middle; of those beyond its reach, only pairs that differ
+   from it in common are compared with each other, which the triangle's rule proves to be enough. What has no such middle
+   is compared by buckets, each set probing with its rarest segments. No bucket is cut short.
 """
 
 from __future__ import annotations
@@ -296,8 +297,8 @@ def sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
 #: Shingles counted in so many parts of the universe, for a bound on the distance of two sets before theirs are sent.
 SPREAD = 64
-#: Rounds of pivots before all pairs that are left; fewer where a round finds nothing.
-PIVOT_ROUNDS = 8
+#: Sets are about a hub up to so many times the distance of a link.
+ORBIT = 2
 #: Rows of pairs, labels or hashes (16 to 24 bytes each) that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -374,17 +375,15 @@ def _verify(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     return through_disk(both.filter(100 * same >= percent * (F.col("n") + F.col("nb") - same)).select("a", "b"), "links")
 
 
-def _pairs(index: DataFrame, apart: bool) -> DataFrame:
-    """All pairs a < b of a bucket where one probes; apart: only those of different labels.
+def _pairs(index: DataFrame) -> DataFrame:
+    """All pairs a < b of a bucket where one probes.
 
     A set probes with its rarest hashes, all but `spare` of them; hashes that are gone were in no bucket with another.
     """
     sizes = index.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
     rank = F.row_number().over(W.partitionBy("cls", "band").orderBy(F.desc("c"), "sig"))
-    more = ["label"] if apart else []
-    probes = index.join(sizes, "sig").withColumn("rank", rank).filter("rank > spare").select("sig", F.col("cls").alias("a"), *(F.col(c).alias("la") for c in more))
-    others = index.select("sig", F.col("cls").alias("b"), *(F.col(c).alias("lb") for c in more))
-    both = probes.join(others, "sig").filter("a <> b" + (" and la <> lb" if apart else ""))
+    probes = index.join(sizes, "sig").withColumn("rank", rank).filter("rank > spare").select("sig", F.col("cls").alias("a"))
+    both = probes.join(index.select("sig", F.col("cls").alias("b")), "sig").filter("a <> b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -397,7 +396,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     survivors = _survivors(docs, found, doc_id, text)
     index = _index(survivors, percent)
     shared = index.groupBy("sig").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y").select("sig")
-    return found.drop("alive"), _verify(_near(_pairs(through_disk(index.join(shared, "sig"), "index"), False).withColumn("c", F.lit(1)), survivors, percent).select("a", "b"), survivors, percent)
+    return found.drop("alive"), _verify(_near(_pairs(through_disk(index.join(shared, "sig"), "index")).withColumn("c", F.lit(1)), survivors, percent).select("a", "b"), survivors, percent)
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -429,8 +428,8 @@ def class_labels(docs: DataFrame, found: DataFrame, doc_id: str, text: str, perc
 
     # the ends of each bucket, which are random members: classes are hashes
     ends = _index(survivors, percent).groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b")
-    tried = [_best(_near(ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), survivors, percent))]
-    edges = [_verify(tried[0], survivors, percent)]
+    tried = _best(_near(ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), survivors, percent))
+    edges = [_verify(tried, survivors, percent)]
     labels = _labels(edges)
 
     # only buckets that hold several components go on
@@ -438,24 +437,86 @@ def class_labels(docs: DataFrame, found: DataFrame, doc_id: str, text: str, perc
     index = _index(named, percent)
     left = through_disk(index.join(_sided(through_disk(_mixed(index), "mixed")), "sig"), "apart")
 
-    # each bucket's pivot, another one each round, with the others; each set with the one it meets most often
-    for k in range(1, PIVOT_ROUNDS + 1):
-        pivots = left.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "label", "cls")).alias("p")).select("sig", F.col("p.label").alias("pl"), F.col("p.cls").alias("pc"))
-        more = left.join(pivots, "sig").filter("label <> pl").groupBy(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        tried.append(_best(_near(more.join(_all(tried), ["a", "b"], "left_anti"), survivors, percent)))
-        edges.append(_verify(tried[-1], survivors, percent))
-        if edges[-1].isEmpty():
-            break
-        labels = _labels(edges)
-        named = left.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        left = through_disk(named.join(_mixed(named), "sig"), "apart")
-
-    # at last all pairs across components
-    rest = _near(_pairs(left, True).join(_all(tried), ["a", "b"], "left_anti").withColumn("c", F.lit(1)), survivors, percent)
-    edges.append(_verify(rest.select("a", "b"), survivors, percent))
+    # near copies of one text: what each differs in from the text in their middle
+    orbits = _orbits(left, survivors, percent)
+    edges.append(through_disk(orbits.filter("near and cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "links"))
+    labels = _labels(edges)
+    named = left.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    left = through_disk(named.join(_mixed(named), "sig"), "apart")
+    around = orbits.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    around = through_disk(around.join(around.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("hub"), "hub"), "orbits")
+
+    # at last all pairs across components: of one orbit by what they differ in, the others by buckets
+    pairs = _same_orbit(around, percent).unionByName(_other_orbits(left, around)).distinct()
+    edges.append(_verify(_near(pairs.join(tried, ["a", "b"], "left_anti").withColumn("c", F.lit(1)), survivors, percent).select("a", "b"), survivors, percent))
     return _labels(edges)
 
 
+def _orbits(left: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
+    """cls, hub, label, n, r, added array<long>, n_added, n_gone, near: the sets about a hub, the set whose buckets are the fullest of
+    those that they meet; added and gone: what a set has and lacks against it, r in all, near: no more than links
+    allow. Only sets within ORBIT times that.
+    """
+    sizes = left.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    score = left.join(sizes, "sig").groupBy("cls").agg(F.avg("c").alias("score"))
+    tops = left.join(score, "cls").groupBy("sig").agg(F.max(F.struct("score", "cls")).alias("top")).select("sig", F.col("top.cls").alias("hub"))
+    votes = left.join(tops, "sig").groupBy("cls", "label", "hub").agg(F.count(F.lit(1)).alias("c"))
+    hubs = through_disk(votes.groupBy("cls", "label").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")), "hubs")
+    for _ in range(2):  # a hub's own hub stands for it
+        up = hubs.select(F.col("cls").alias("hub"), F.col("hub").alias("up"))
+        hubs = hubs.join(up, "hub", "left").select("cls", "label", F.coalesce("up", "hub").alias("hub"))
+    hubs = through_disk(hubs, "hubs")
+    whole = survivors.select("cls", "n", "shingles")
+    own = whole.join(_sided(hubs), "cls")
+    middles = through_disk(hubs.select("hub").distinct(), "hubs")
+    held = whole.join(_sided(middles), F.col("cls") == F.col("hub")).select("hub", F.col("n").alias("nh"), F.col("shingles").alias("sh"))
+    both = own.join(held, "hub").withColumn("added", F.array_except("shingles", "sh")).withColumn("n_added", F.size("added").cast("long"))
+    both = both.withColumn("n_gone", F.col("nh") - F.col("n") + F.col("n_added")).withColumn("r", F.col("n_added") + F.col("n_gone"))
+    limit = (100 - percent) * (F.col("n") + F.col("nh"))
+    out = both.filter((100 + percent) * F.col("r") <= ORBIT * limit)
+    return through_disk(out.select("cls", "hub", "label", "n", "r", "added", "n_added", "n_gone", ((100 + percent) * F.col("r") <= limit).alias("near")), "orbits")
+
+
+def _same_orbit(around: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs about one hub, of different labels, that may link.
+
+    Their distance is r + r less twice what they added or lost in common. Either they added something in common, or
+    what they lost in common must do, which is no more than the lesser of their losses.
+    """
+    added = around.select("hub", "cls", "label", F.explode("added").alias("e"))
+    common = added.alias("x").join(added.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")))
+    common = common.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    # of two labels about a hub one is beyond its reach; the other must have lost more than it added
+    light = around.drop("added").withColumn("gain", F.col("n_gone") - F.col("n_added")).withColumn("over", (100 + percent) * F.col("r") - (100 - percent) * F.col("n"))
+    y = light.filter("gain > 0").alias("y")
+    most = light.groupBy("hub").agg(F.max("gain").alias("most")).filter("most > 0")
+    # a partner has at most 100 / percent as many shingles
+    x = light.filter("not near").join(most, "hub").filter(percent * F.col("over") - 100 * (100 - percent) * F.col("n") <= percent * (100 + percent) * F.col("most")).alias("x")
+    reach = F.col("x.over") + (100 + percent) * F.col("y.r") - (100 - percent) * F.col("y.n")
+    fits = reach <= 2 * (100 + percent) * F.least("x.n_gone", "y.n_gone")
+    lost = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.cls") != F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & fits)
+    lost = lost.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    return common.unionByName(lost)
+
+
+def _other_orbits(left: DataFrame, around: DataFrame) -> DataFrame:
+    """a < b: pairs of one bucket and different labels that don't share a hub."""
+    named = through_disk(left.join(around.select("cls", "hub"), "cls", "left"), "apart")
+    sizes = named.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    rank = F.row_number().over(W.partitionBy("cls", "band").orderBy(F.desc("c"), "sig"))
+    # sets without a hub probe with their rarest hashes, all but `spare`; what is gone was in no bucket with another label
+    alone = named.filter("hub is null").join(sizes, "sig").withColumn("rank", rank).filter("rank > spare").select("sig", F.col("cls").alias("a"), F.col("label").alias("la"))
+    first = alone.join(named.select("sig", F.col("cls").alias("b"), F.col("label").alias("lb")), "sig").filter("a <> b and la <> lb")
+    # sets of different hubs: those of a bucket's lesser hubs against the others
+    held = named.filter("hub is not null").select("sig", "cls", "label", "hub")
+    hubs = held.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "hub")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("sig", F.col("top.hub").alias("major"))
+    mixed = held.join(hubs, "sig")
+    minor = mixed.filter("hub <> major").select("sig", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("hub").alias("ha"))
+    second = minor.join(mixed.select("sig", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("hub").alias("hb")), "sig").filter("a <> b and la <> lb and ha <> hb")
+    both = first.select("a", "b").unionByName(second.select("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles long, component_id long; one row for each row of docs.
 
