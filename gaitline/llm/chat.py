@@ -1,8 +1,8 @@
 r"""Chat formatting with a grammar round trip, in DataFrame operations only.
 
 The template of a turn is "### <Role>: <text> </turn>" and a line feed. A deterministic parser (split at the
-end mark, then take the role up to its mark) reads the formatted conversation back; where that differs
-from the source, conflicting turns are escaped, and if it still differs all are, roles included, which always
+end mark, then take the role up to its mark) reads the formatted conversation back. Turns that hold control
+strings are escaped; if what is read back differs from the source, all turns are, roles included, which always
 reads back the same: an escaped turn is marked by "!" for ":", and its backslash, "#" and "<" are written
 \b, \h and \l, so neither mark can occur inside.
 """
@@ -68,14 +68,12 @@ def parse_piece(piece: Column) -> Column:
 
 
 def _reads_back(formatted: Column, turns: Column) -> Column:
-    got = F.transform(pieces(formatted), lambda p: F.concat_ws("\n", F.lit("turn"), parse_piece(p)["role"], parse_piece(p)["text"]))
-    want = F.transform(turns, lambda t: F.concat_ws("\n", F.lit("turn"), t["role"], t["text"]))
-    same = F.transform(pieces(formatted), lambda p: F.struct(parse_piece(p)["role"].alias("role"), parse_piece(p)["text"].alias("text"))) == F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return F.coalesce((got == want) & same, F.lit(False))
+    got = F.transform(pieces(formatted), lambda p: F.struct(parse_piece(p)["role"].alias("role"), parse_piece(p)["text"].alias("text")))
+    return F.coalesce(got == F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.lit(False))
 
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained_role: str = TRAINED_ROLE) -> DataFrame:
-    """One row for each conversation: conv_id, n_turns, formatted, level (0 plain, 1 conflicting turns escaped, 2 all), and
+    """One row for each conversation: conv_id, n_turns, formatted, level (0: nothing to escape, 1: conflicting turns escaped, 2: all), and
     turns array<struct<role, text, start, length>> as read back, with each text's place in formatted, and
     loss_mask array<struct<start, length>>, the places of the trained role's texts in order.
 
@@ -90,10 +88,9 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     def rendered(escaped) -> Column:
         return F.array_join(F.transform(F.col("turns"), lambda t: render_turn(t["role"], t["text"], escaped(t))), "")
 
-    convs = convs.withColumn("plain", rendered(lambda t: F.lit(False))).withColumn("ok", _reads_back(F.col("plain"), F.col("turns")))
-    convs = convs.withColumn("some", F.when(~F.col("ok"), rendered(lambda t: conflicts(t["role"], t["text"]))))
-    convs = convs.withColumn("level", F.when(F.col("ok"), 0).when(_reads_back(F.col("some"), F.col("turns")), 1).otherwise(2))
-    convs = convs.withColumn("formatted", F.when(F.col("level") == 0, F.col("plain")).when(F.col("level") == 1, F.col("some")).otherwise(rendered(lambda t: F.lit(True))))
+    some = convs.withColumn("some", rendered(lambda t: conflicts(t["role"], t["text"]))).withColumn("any", F.exists("turns", lambda t: conflicts(t["role"], t["text"])))
+    convs = some.withColumn("level", F.when(_reads_back(F.col("some"), F.col("turns")), F.col("any").cast("int")).otherwise(2))
+    convs = convs.withColumn("formatted", F.when(F.col("level") < 2, F.col("some")).otherwise(rendered(lambda t: F.lit(True))))
     read = convs.select("conv_id", "level", "formatted", F.transform(pieces(F.col("formatted")), lambda p: F.struct(F.length(p).alias("size"), parse_piece(p).alias("turn"))).alias("read"))
     # offsets: running sum of the pieces' lengths
     step = F.aggregate(

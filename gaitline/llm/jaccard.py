@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -415,6 +415,17 @@ def _mixed(index: DataFrame) -> DataFrame:
     return index.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
 
 
+def _open(index: DataFrame) -> DataFrame:
+    """Rows of mixed buckets that can still bring a link: a set needs more than `spare` of them in a band. Twice over, as
+    what goes makes other buckets single.
+    """
+    for _ in range(2):
+        held = F.count(F.lit(1)).over(W.partitionBy("cls", "band"))
+        enough = through_disk(index.withColumn("held", held).filter("held > spare").drop("held"), "apart")
+        index = enough.join(_mixed(enough), "sig")
+    return through_disk(index, "apart")
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, c) the one with the largest c for each node: as many as there are nodes at most."""
     ways = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "c").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "c"))
@@ -435,19 +446,19 @@ def class_labels(docs: DataFrame, found: DataFrame, doc_id: str, text: str, perc
     # only buckets that hold several components go on
     named = survivors.join(_sided(labels), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "shingles")
     index = _index(named, percent)
-    left = through_disk(index.join(_sided(through_disk(_mixed(index), "mixed")), "sig"), "apart")
+    left = _open(index.join(_sided(through_disk(_mixed(index), "mixed")), "sig"))
 
     # near copies of one text: what each differs in from the text in their middle
     orbits = _orbits(left, survivors, percent)
     edges.append(through_disk(orbits.filter("near and cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "links"))
     labels = _labels(edges)
     named = left.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    left = through_disk(named.join(_mixed(named), "sig"), "apart")
+    left = _open(named.join(_mixed(named), "sig"))
     around = orbits.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     around = through_disk(around.join(around.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("hub"), "hub"), "orbits")
 
     # at last all pairs across components: of one orbit by what they differ in, the others by buckets
-    pairs = _same_orbit(around, percent).unionByName(_other_orbits(left, around)).distinct()
+    pairs = _same_orbit(around, percent).unionByName(_other_orbits(left, around, survivors, percent)).distinct()
     edges.append(_verify(_near(pairs.join(tried, ["a", "b"], "left_anti").withColumn("c", F.lit(1)), survivors, percent).select("a", "b"), survivors, percent))
     return _labels(edges)
 
@@ -499,22 +510,34 @@ def _same_orbit(around: DataFrame, percent: int) -> DataFrame:
     return common.unionByName(lost)
 
 
-def _other_orbits(left: DataFrame, around: DataFrame) -> DataFrame:
-    """a < b: pairs of one bucket and different labels that don't share a hub."""
+def _other_orbits(left: DataFrame, around: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs of one bucket and different labels that don't share a hub, and may link by sizes and spreads."""
     named = through_disk(left.join(around.select("cls", "hub"), "cls", "left"), "apart")
     sizes = named.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
     rank = F.row_number().over(W.partitionBy("cls", "band").orderBy(F.desc("c"), "sig"))
     # sets without a hub probe with their rarest hashes, all but `spare`; what is gone was in no bucket with another label
-    alone = named.filter("hub is null").join(sizes, "sig").withColumn("rank", rank).filter("rank > spare").select("sig", F.col("cls").alias("a"), F.col("label").alias("la"))
-    first = alone.join(named.select("sig", F.col("cls").alias("b"), F.col("label").alias("lb")), "sig").filter("a <> b and la <> lb")
+    alone = named.filter("hub is null").join(sizes, "sig").withColumn("rank", rank).filter("rank > spare").select("sig", "cls", "label")
+    first = _met(through_disk(alone, "probes"), named.select("sig", "cls", "label"), survivors, percent, F.lit(True))
     # sets of different hubs: those of a bucket's lesser hubs against the others
     held = named.filter("hub is not null").select("sig", "cls", "label", "hub")
     hubs = held.groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "hub")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("sig", F.col("top.hub").alias("major"))
-    mixed = held.join(hubs, "sig")
-    minor = mixed.filter("hub <> major").select("sig", F.col("cls").alias("a"), F.col("label").alias("la"), F.col("hub").alias("ha"))
-    second = minor.join(mixed.select("sig", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("hub").alias("hb")), "sig").filter("a <> b and la <> lb and ha <> hb")
-    both = first.select("a", "b").unionByName(second.select("a", "b"))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    mixed = through_disk(held.join(hubs, "sig"), "mixed")
+    second = _met(mixed.filter("hub <> major").drop("major"), mixed.drop("major"), survivors, percent, F.col("x.hub") != F.col("y.hub"))
+    return first.unionByName(second)
+
+
+def _met(probes: DataFrame, index: DataFrame, survivors: DataFrame, percent: int, rule: Column) -> DataFrame:
+    """a < b: a probe's set with those of its buckets, of other labels, by the rule. Sizes and spreads are part of the join's
+    condition, so pairs that can't link are not made.
+    """
+    light = survivors.select("cls", "n", "spread")
+    x = probes.join(light, "cls").alias("x")
+    y = index.join(probes.select("sig").distinct(), "sig").join(light, "cls").alias("y")
+    apart = F.aggregate(F.zip_with("x.spread", "y.spread", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+    most = (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    near = (100 + percent) * F.abs(F.col("x.n") - F.col("y.n")) <= most
+    both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & rule & near & ((100 + percent) * apart <= most))
+    return both.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
