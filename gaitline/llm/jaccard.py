@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .graph import components
-from .kernel import Words, as_strings, grams, mix, words_of
+from .kernel import as_strings, grams, mix, in_parts, words_of, Words
 from .packets import cuts, n_ranges, pack, pack_sorted, unpack, unpack_sorted
 from .shared import through_disk
 
 WORDS, PERCENT = 5, 80
 #: Size bands grow by this factor; hashes that a task gathers before it sends them.
-BAND_RATIO, PACKET_KEYS = 1.5, 1_200_000
+BAND_RATIO, PACKET_KEYS = 1.5, 600_000
 _U = np.uint64
 _SHARED = 0xFFFFFFFF
 
@@ -199,9 +199,7 @@ def _gather(n: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, n_keys, n_slots, seen = TaskContext.get().partitionId() << 24, [], 0, 0, set()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             ids = np.array(b.column(0).fill_null(0)), np.array(b.column(0).is_valid())
             for w in words_of(as_strings(b.column(1)), lower=True):
                 doc, keys = shingle_sets(w)
@@ -314,9 +312,7 @@ def _survivors(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Dat
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(_sided(reps), F.col("doc_id") == F.col("rep")).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             wanted = np.array(b.column(0))
             for w in words_of(as_strings(b.column(1)), lower=True):
                 doc, keys = shingle_sets(w)

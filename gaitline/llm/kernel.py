@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, PART_ROWS = 1 << 19, 1000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _ROLL = _U(0xD6E8FEB86659FD93)
@@ -73,6 +73,13 @@ def as_strings(column: pa.ChunkedArray | pa.Array) -> pa.LargeStringArray:
     return column.cast(pa.large_string()).fill_null("")
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded length, none empty."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def slices(texts: pa.LargeStringArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, bytes, bounds) of runs of texts of about `most` bytes; a longer text is a run by itself."""
     n = len(texts)

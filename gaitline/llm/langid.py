@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import as_strings, words_of
+from .kernel import as_strings, in_parts, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest piece used, in characters, the word mark included; longer runs of letters are cut into parts.
@@ -229,9 +229,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", pred_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             names, score = classify(as_strings(b.column(at)), own)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names), pa.array(score)], [*b.schema.names, pred_col, score_col])
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import as_strings, mix, words_of
+from .kernel import as_strings, mix, in_parts, words_of
 from .packets import cuts, n_ranges, pack, pack_sorted, unpack, unpack_sorted
 from .shared import through_disk
 
@@ -65,9 +65,7 @@ def _gather(n: int, order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, n_tokens = TaskContext.get().partitionId() << 24, [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             ids, valid, out = np.array(b.column(0).fill_null(0)), np.array(b.column(0).is_valid()), np.array(b.column(1))
             for w in words_of(as_strings(b.column(2)), lower=True):
                 length = w.counts() + 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import _STARTS_CHAR, as_strings, words_of
+from .kernel import as_strings, in_parts, words_of, _STARTS_CHAR
 from .repetition import BASE_GRAM, in_repeats, line_repeats
 from .shared import through_disk
 
@@ -87,9 +87,7 @@ def measured(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     n = len(STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             x = statistics(as_strings(b.column(b.num_columns - 1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, n, dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], "x"])
@@ -146,9 +144,7 @@ def fit(rows: DataFrame, label: str, calibrate: Column, train_rows: int = TRAIN_
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = N_FEATURES + 1
         a, v = np.zeros((m, m)), np.zeros(m)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             x = np.array(b.column(0).flatten()).reshape(-1, d)
             z, y = features(x, centre, scale), np.array(b.column(1))
             a += z.T @ z

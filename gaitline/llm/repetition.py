@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, as_strings, grams, mix, words_of
+from .kernel import as_strings, grams, mix, in_parts, words_of, Words
 
 #: N-gram length -> largest share of characters inside duplicated n-grams; the published
 #: limits for web text, and one for lines. Short lengths need no limit here, the base rule has length 5.
@@ -114,9 +114,7 @@ def coverage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     schema = SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             found = measure(as_strings(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v) for v in found.values())], ["doc_id", *found])
 

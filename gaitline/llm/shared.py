@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of anything but these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,10 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
 def through_disk(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors.
 
-    A table without rows comes back with its schema.
+    A table without rows comes back with its schema. While it is written, rows go to Python in batches of BATCH_ROWS,
+    so that a batch of texts is a few megabytes.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

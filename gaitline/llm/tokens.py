@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import as_strings, slices
+from .kernel import as_strings, in_parts, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's published pre-tokenisation pattern.
@@ -78,9 +78,7 @@ def count_tokens(docs: DataFrame, sections: str = "\n", doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, sizes = encoder(sent.value)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_parts(batches):
             total, n_sections, crossing, each = [], [], [], []
             for _, data, bounds in slices(as_strings(b.column(1))):
                 for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
