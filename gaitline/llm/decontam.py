@@ -79,12 +79,19 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     anchors = anchored(cut, term_counts(docs, cut, small, doc_id, text))
     # equal windows of several items are looked up once
     anchors = anchors.groupBy("term", "offset", F.xxhash64("terms").alias("phrase"), F.size("terms").alias("length"), F.concat_ws(" ", "terms").alias("said")).agg(F.collect_list(F.struct("item_id", "at")).alias("places"))
-    here = F.col("pos") - F.col("offset")
-    within = (here >= 0) & (here + F.col("length") <= F.size("doc_terms"))
-    hits = postings(_forward(docs, doc_id, text).withColumn("doc_terms", F.col("terms")), ("doc_id", "key", "doc_terms")).join(_sided(anchors, small), "term")
-    there = F.slice("doc_terms", here + 1, F.col("length"))
-    hits = hits.filter(within).filter((F.xxhash64(there) == F.col("phrase")) & (F.concat_ws(" ", there) == F.col("said")))
-    return hits.select("doc_id", "key", here.alias("start"), "length", F.explode("places").alias("place")).select("doc_id", "key", "place.item_id", "place.at", "start", "length")
+    start = F.col("pos") - F.col("offset")
+    whole = _forward(docs, doc_id, text).withColumn("doc_terms", F.col("terms"))
+    if small:
+        found = postings(whole, ("doc_id", "key", "doc_terms")).join(F.broadcast(anchors), "term").withColumn("start", start)
+    else:  # postings alone are shuffled; what they suggest comes back to the documents
+        some = postings(whole, ("doc_id", "key")).join(anchors, "term").withColumn("start", start).filter("start >= 0")
+        some = some.groupBy(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).agg(F.collect_set(F.struct("start", "length", "phrase", "said", "places")).alias("some"))
+        back = whole.drop("terms").join(some, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")))
+        found = back.withColumn("one", F.explode("some")).select("doc_id", "key", "doc_terms", "one.*")
+    within = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("doc_terms"))
+    there = F.slice("doc_terms", F.col("start") + 1, F.col("length"))
+    hits = found.filter(within).filter((F.xxhash64(there) == F.col("phrase")) & (F.concat_ws(" ", there) == F.col("said")))
+    return hits.select("doc_id", "key", "start", "length", F.explode("places").alias("place")).select("doc_id", "key", "place.item_id", "place.at", "start", "length")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, n_terms: int = 3, slack: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
