@@ -88,3 +88,23 @@ def resolve_stream(df: DataFrame, delay_s: float = 0.0, **options: Any) -> DataF
     """Stream: as resolve(), each frame once it is delay_s behind the newest of its session."""
     keyed = df.withColumn("session", F.col("session").cast("string")).groupBy("session")
     return keyed.transformWithStateInPandas(ReidProcessor(options, delay_s), SCHEMA, "Append", "None")
+
+
+def resolve_segments(df: DataFrame, max_people: int, **options: Any) -> DataFrame:
+    """Batch: session, frame, raw_id, person_id of segments (session, frame, t_s, raw_id, x, y, scale, aspect, fill, hue, embedding)."""
+    from gaitline.operators.reid import Segment, SegmentReid
+
+    SegmentReid(max_people, **options)  # options are checked where the query is built
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        machine, out = SegmentReid(max_people, **options), []
+        for frame, rows in pdf.groupby("frame", sort=True):
+            people = [
+                Segment(int(r.raw_id), None if pd.isna(r.x) or pd.isna(r.y) else np.array([r.x, r.y]), float(r.scale), _vector(r.hue), None if pd.isna(r.aspect) or pd.isna(r.fill) else (r.aspect, r.fill), _vector(r.embedding))
+                for r in rows.sort_values("raw_id").itertuples() if not pd.isna(r.raw_id)
+            ]
+            ids, _ = machine.step(people, float(rows["t_s"].iloc[0]))
+            out += [(key[0], frame, raw, pid) for raw, pid in ids.items()]
+        return pd.DataFrame(out, columns=["session", "frame", "raw_id", "person_id"])
+
+    return df.withColumn("session", F.col("session").cast("string")).groupBy("session").applyInPandas(run, "session string, frame long, raw_id long, person_id long")

@@ -157,3 +157,18 @@ def test_options():
         with pytest.raises(ValueError):
             SessionOptions(**bad)
     SessionOptions(reidentify=True)
+
+
+def test_raster_overlap_counts_edges():
+    from gaitline.operators.raster import overlap, spans
+
+    square = lambda x, y, w: [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + w}, {"x": x, "y": y + w}]
+    s = spans(np.array([0, 4, 4, 0]), np.array([0, 0, 4, 4]))
+    assert {y: v for y, v in s.items()} == {y: [(0, 4)] for y in range(5)}
+    assert overlap(square(0, 0, 40), square(0, 0, 40)) == 1.0 and overlap(square(0, 0, 4), square(10, 10, 4)) == 0.0
+    assert overlap(square(0, 0, 40), square(10, 0, 40)) == pytest.approx(31 * 41 / (2 * 41 * 41 - 31 * 41))
+    assert overlap(square(0, 0, 4)[:2], square(0, 0, 4)) == 0.0
+    triangle = spans(np.array([0, 8, 4]), np.array([0, 0, 4]))
+    assert [b - a + 1 for row in triangle.values() for a, b in row] == [9, 7, 5, 3, 1]
+    notch = spans(np.array([0, 6, 6, 3, 0]), np.array([0, 0, 6, 2, 6]))  # not convex: two runs in a row
+    assert len(notch[5]) == 2
