@@ -36,8 +36,8 @@ def test_first_sightings(spark, tmp_path):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
-    rows = [(k, at, 1) for k, at in enumerate((0, 5, 12, 40, 1))]  # the last comes after the watermark has passed it
+    rows = [(k, at, 1) for k, at in enumerate((0, 5, 12, 40, 41, 1))]  # the last comes after the watermark has passed it
     df = spark.createDataFrame(rows, "frame long, at long, track_id long").withColumn("ts", F.timestamp_seconds("at"))
-    run(live.tumbling(feed(spark, df, str(tmp_path / "in"), 5), "ts", "10 seconds", "5 seconds"), "tumbling", tmp_path)
+    run(live.tumbling(feed(spark, df, str(tmp_path / "in"), 6), "ts", "10 seconds", "5 seconds"), "tumbling", tmp_path)
     got = {r["window"]["start"].second: r["rows_seen"] for r in spark.table("tumbling").collect()}
     assert got == {0: 2, 10: 1}
