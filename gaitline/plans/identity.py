@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaitline.functions import geometry as G
 from gaitline.operators import chunks, identity, matching
 from gaitline.sources import adapters as A
+from gaitline.sources import files
 
 from . import sqltext as Q
 from .catalog import query
@@ -115,7 +116,7 @@ _FRAG, _SWAP = _switches("oracle_id", "baseline_id"), _switches("baseline_id", "
 
 @query(f"WITH {Q.RUNS} SELECT 'fragmentation' AS kind, * FROM ({_FRAG}) UNION ALL SELECT 'swap' AS kind, * FROM ({_SWAP})")
 def wn09_switch_events(spark: SparkSession, d: str) -> DataFrame:
-    corr = _corr(spark, d)
+    corr = files.settled(_corr(spark, d))
     frag = identity.switch_events(corr, "oracle_id", "baseline_id", CHUNK).withColumn("kind", F.lit("fragmentation"))
     return frag.unionByName(identity.switch_events(corr, "baseline_id", "oracle_id", CHUNK).withColumn("kind", F.lit("swap")))
 
@@ -134,7 +135,7 @@ def wn10_boundary_checks(spark: SparkSession, d: str) -> DataFrame:
 SELECT session, coalesce(f, 0) AS fragmentation_count, coalesce(fc, 0) AS cross_chunk_fragmentation_count, coalesce(f - fc, 0) AS intra_chunk_fragmentation_count, coalesce(s, 0) AS swap_count, coalesce(sc, 0) AS cross_chunk_swap_count, coalesce(s - sc, 0) AS intra_chunk_swap_count, coalesce(c, 0) AS correct_boundary_matches, coalesce(t, 0) AS total_boundaries_checked, round(c / t, 6) AS boundary_accuracy
 FROM (SELECT DISTINCT session FROM sig) LEFT JOIN fr USING (session) LEFT JOIN sw USING (session) LEFT JOIN bk USING (session)""")
 def ag16_persistence_report(spark: SparkSession, d: str) -> DataFrame:
-    return identity.report(_corr(spark, d), _totals(spark, d), CHUNK).withColumn("boundary_accuracy", r6("boundary_accuracy"))
+    return identity.report(files.settled(_corr(spark, d)), _totals(spark, d), CHUNK).withColumn("boundary_accuracy", r6("boundary_accuracy"))
 
 
 # --- chunks ----------------------------------------------------------------------------------------------------------

@@ -19,6 +19,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, for a result that several consumers need."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.csv(path, header=True)
     return path
