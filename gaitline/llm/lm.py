@@ -6,7 +6,7 @@ occurrence is deleted in turn, so its probabilities come from the counts of all
 
 A task sends the distinct n-grams of its texts in packets by hash range; each range sums the training counts of
 its n-grams over the whole corpus and answers every packet with them. So a frequent word is one entry a task,
-nothing is joined row by row, and no count is dropped. Words are 64-bit hashes, longer n-grams 56-bit ones.
+nothing is joined row by row, and no count is dropped. Words are 64-bit hashes, longer n-grams 48-bit ones.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def gram_keys(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndar
         before = np.concatenate((np.array([_BEGIN], np.uint64), before[:-1]))
         before[first] = _BEGIN
         key = key + before * (_ROLL ** _U(n - 1))
-        out.append(mix(key + _U(n)) & ~_U(0xFF))
+        out.append(mix(key + _U(n)) & ~_U(0xFFFF))
     return out
 
 
