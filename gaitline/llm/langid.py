@@ -7,7 +7,7 @@ The piece probabilities are learned by expectation-maximisation over all segment
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,14 +21,14 @@ from .kernel import as_strings, in_parts, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest piece used, in characters, the word mark included; longer runs of letters are cut into parts.
-PIECE_CHARS, PART_CHARS = 7, 18
+PIECE_CHARS, PART_CHARS = 6, 18
 #: Bounds of the sample that the probabilities are learned from: documents a language, and languages.
-TRAIN_DOCS, MAX_LANGUAGES = 1000, 200
+TRAIN_DOCS, MAX_LANGUAGES = 300, 200
 ROUNDS = 2
 #: Pseudo-words of the pooled distribution added to each language; probability of a character beyond the vocabulary.
 SMOOTHING, UNKNOWN = 2000.0, 1e-7
 UNDETERMINED = "und"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 700_000
 
 _letters = regex.compile(r"\p{L}+")
 
@@ -132,9 +132,8 @@ class Model:
         return out
 
 
-def train(counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
-    """The model of (language, word, count) rows; languages in order of their names."""
-    languages = sorted({c[0] for c in counts})
+def train(counts: Iterable[tuple[str, str, int]], languages: list[str], pieces: list[str], rounds: int = ROUNDS) -> Model:
+    """The model of (language, word, count) rows."""
     number, where = {x: k for k, x in enumerate(languages)}, {p: k for k, p in enumerate(pieces)}
     total: dict[str, np.ndarray] = {}
     for lang, word, n in counts:
@@ -178,8 +177,8 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", vocabulary: s
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array(list(total.values()), pa.int64())], ["lang", "word", "n"])
 
     counted = some.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = counted.toArrow().to_pydict()
-    return train(list(zip(rows["lang"], rows["word"], rows["n"])), load_pieces(vocabulary))
+    rows = counted.toArrow()
+    return train(zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n"))), sorted(k for k, _ in sizes), load_pieces(vocabulary))
 
 
 def classify(texts: pa.LargeStringArray, model: Model) -> tuple[list[str], np.ndarray]:
