@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gaitline.llm import decontam, jaccard, langid, mixing
 from gaitline.llm.queries import SHARDS
 from gaitline.llm.sharding import place
-from gaitline.llm.shared import read, through_disk
+from gaitline.llm.shared import read, steady_reads, through_disk
 
 #: A language must be the likelier one of any two.
 MIN_SCORE = 0.5
@@ -24,6 +24,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps documents whose language is told: not `und`, score of at least MIN_SCORE. Without labels in lang all texts are
     `und`; null and empty texts are too.
     """
+    steady_reads(spark)
     model = langid.learn(docs)
     found = langid.identify(docs, model, pred_col="_lang_pred", score_col="_score")
     return found.filter((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
@@ -59,6 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their slot and shard; copies of a document share a shard."""
+    steady_reads(spark)
     return place(docs, "doc_id", SHARDS)
 
 

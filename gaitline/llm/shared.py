@@ -14,7 +14,15 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def steady_reads(spark: SparkSession) -> None:
+    """From now on this session's Parquet scans read column chunks one after another: with vectored reads each reading
+    thread keeps a buffer outside the heap as large as the largest chunk of texts that it has met.
+    """
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    steady_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -33,6 +41,7 @@ def through_disk(df: DataFrame, name: str) -> DataFrame:
     so that a batch of texts is a few megabytes.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    steady_reads(df.sparkSession)
     conf = df.sparkSession.conf
     before = conf.get(_BATCH)
     conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
