@@ -7,7 +7,7 @@ characters in words. A text fails when a share passes its limit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .kernel import as_strings, grams, mix, in_parts, words_of, Words
 
-#: N-gram length -> largest share of characters inside duplicated n-grams; the published
-#: limits for web text, and one for lines. Short lengths need no limit here, the base rule has length 5.
-GRAM_LIMITS = {5: 0.40, 6: 0.38, 8: 0.36, 10: 0.34}
-LINE_LIMIT = 0.50
+#: N-gram length -> largest share of characters inside duplicated n-grams, and one for lines. From
+#: length 5 and for lines the published limits for web text, below the base rule's share. The published limits of the
+#: lengths 2 to 4 are for the most frequent n-gram, not for this share; those here lie between the shares of texts
+#: labelled good (0.25 at most) and of labelled bad ones that repeat short runs only (1.0), see the README.
+GRAM_LIMITS = {2: 0.50, 3: 0.50, 4: 0.50, 5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+LINE_LIMIT = 0.20
 #: Symbols to a word, and the share of words that are a lone bar, above which a text is markup or noise.
 SYMBOL_LIMIT = 0.30
 SYMBOLS = b"#*$%&|<>"
@@ -40,16 +42,27 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def in_repeats_of(w: Words, lengths: Iterable[int]) -> dict[int, np.ndarray]:
+    """Length -> which words lie in a run of so many words found twice or more in its text, the first included."""
+    out, may = {}, np.ones(len(w.hash), bool)
+    for n in sorted(lengths):
+        key, whole = grams(w.hash, w.doc, n)
+        inside = np.zeros(len(w.hash) + 1, np.int32)
+        # a run that repeats begins with a shorter run that repeats
+        where = np.flatnonzero(whole & may[: len(whole)])
+        # the text is part of the key: repeats across texts don't count
+        hit = where[_repeated(mix(key[where] + w.doc[where].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))]
+        np.add.at(inside, hit, 1)
+        np.add.at(inside, hit + n, -1)
+        out[n] = np.cumsum(inside[:-1]) > 0
+        may = np.zeros(len(w.hash), bool)
+        may[hit] = True
+    return out
+
+
 def in_repeats(w: Words, n: int) -> np.ndarray:
-    """Which words lie in a run of n words found twice or more in its text, the first included."""
-    key, whole = grams(w.hash, w.doc, n)
-    inside = np.zeros(len(w.hash) + 1, np.int32)
-    where = np.flatnonzero(whole)
-    # the text is part of the key: repeats across texts don't count
-    hit = where[_repeated(mix(key[where] + w.doc[where].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))]
-    np.add.at(inside, hit, 1)
-    np.add.at(inside, hit + n, -1)
-    return np.cumsum(inside[:-1]) > 0
+    """in_repeats_of() one length."""
+    return in_repeats_of(w, [n])[n]
 
 
 def line_repeats(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +115,9 @@ def measure(texts: pa.LargeStringArray) -> dict[str, np.ndarray]:
         of = lambda x: np.bincount(w.doc, x, minlength=n).astype(np.int64)
         marks = np.concatenate(([0], np.cumsum(symbol[w.data])))
         dup, dup_chars = line_repeats(w)
-        now = {"n_words": w.counts(), "word_chars": of(chars), "n_symbols": marks[w.bounds[1:]] - marks[w.bounds[:-1]], "n_dup_lines": dup, "n_repeat_words": of(in_repeats(w, BASE_GRAM)), "dup_line_chars": dup_chars}
-        now |= {f"dup_{k}gram_chars": of(np.where(in_repeats(w, k), chars, 0)) for k in GRAM_LIMITS}
+        inside = in_repeats_of(w, {BASE_GRAM, *GRAM_LIMITS})
+        now = {"n_words": w.counts(), "word_chars": of(chars), "n_symbols": marks[w.bounds[1:]] - marks[w.bounds[:-1]], "n_dup_lines": dup, "n_repeat_words": of(inside[BASE_GRAM]), "dup_line_chars": dup_chars}
+        now |= {f"dup_{k}gram_chars": of(np.where(inside[k], chars, 0)) for k in GRAM_LIMITS}
         for k, v in now.items():
             parts.setdefault(k, []).append(v)
     return {k: np.concatenate(v).astype(np.int64) for k, v in parts.items()}
