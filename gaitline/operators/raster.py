@@ -42,6 +42,45 @@ def overlap(a: list[dict], b: list[dict]) -> float:
     return both / union if union else 0.0
 
 
+def _shapes(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(x0, y0, x1, y1 of each polygon's truncated corners, NaN where overlap() has to look; which are upright rectangles)."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    points = column.flatten()
+    x, y = (np.trunc(points.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in ("x", "y"))
+    bounds = np.full((4, len(size)), np.nan)
+    held = np.flatnonzero(size >= 3)
+    first = (np.cumsum(size) - size)[held]
+    if len(held):
+        # a shorter polygon's points would join the one before it
+        kept = np.repeat(size >= 3, size)
+        x3, y3, at = x[kept], y[kept], np.cumsum(size[held]) - size[held]
+        bounds[:, held] = np.minimum.reduceat(x3, at), np.minimum.reduceat(y3, at), np.maximum.reduceat(x3, at), np.maximum.reduceat(y3, at)
+    upright = np.zeros(len(size), bool)
+    four = size[held] == 4
+    if four.any():
+        at = first[four][:, None] + np.arange(4)
+        px, py, (x0, y0, x1, y1) = x[at], y[at], bounds[:, held[four], None]
+        corners = ((px == x0) | (px == x1)).all(1) & ((py == y0) | (py == y1)).all(1)
+        twice = np.abs((px * np.roll(py, -1, 1) - np.roll(px, -1, 1) * py).sum(1))
+        whole = (2 * (x1 - x0) * (y1 - y0))[:, 0]
+        upright[held[four]] = corners & (twice == whole) & (whole > 0)
+    return bounds, upright
+
+
+def overlaps(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """overlap() of each pair: 0 where the bounds are apart, in closed form for upright rectangles, by spans for the others."""
+    (p, p_upright), (q, q_upright) = _shapes(a), _shapes(b)
+    side = lambda s: (s[2] - s[0] + 1, s[3] - s[1] + 1)
+    w, h = side((*np.maximum(p[:2], q[:2]), *np.minimum(p[2:], q[2:])))
+    apart = (w <= 0) | (h <= 0)
+    both, area = np.where(apart, 0.0, w * h), np.prod(side(p), 0) + np.prod(side(q), 0)
+    closed = p_upright & q_upright
+    out = np.divide(both, area - both, out=np.zeros(len(both)), where=closed & ~apart)
+    rest = pa.array(np.flatnonzero(~closed & ~apart))
+    out[rest.to_numpy()] = [overlap(x, y) for x, y in zip(a.take(rest).to_pylist(), b.take(rest).to_pylist())]
+    return out
+
+
 def polygon_overlaps(pairs: DataFrame, a: str, b: str, out: str = "iou") -> DataFrame:
     """pairs with the overlap of two polygon columns appended; pair them by frame and boxes first."""
     from pyspark.sql import types as T
@@ -51,7 +90,7 @@ def polygon_overlaps(pairs: DataFrame, a: str, b: str, out: str = "iou") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [overlap(x, y) for x, y in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist())]
+            found = overlaps(batch.column(i), batch.column(j))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, out])
 
     return pairs.mapInArrow(run, schema)

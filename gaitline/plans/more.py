@@ -84,7 +84,7 @@ def jn23_configs_against_reference(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {Q.DET} SELECT frame, a.det AS a_id, b.det AS b_id, round(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1) / ((a.w + 1) * (a.h + 1) + (b.w + 1) * (b.h + 1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1)), 6) AS iou FROM det a JOIN det b USING (frame) WHERE a.det < b.det AND frame % 50 = 0")
 def sc19_raster_iou(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of the boxes' outlines on the pixel grid, edges included."""
-    det = A.detections(spark, d).filter("frame % 50 = 0").select("frame", "det", G.box_polygon(F.col("bbox")).alias("poly"))
+    det = A.detections(spark, d).select("frame", "det", G.box_polygon(F.col("bbox")).alias("poly"))
     a, b = (det.select("frame", F.col("det").alias(f"{x}_id"), F.col("poly").alias(f"p{x}")) for x in "ab")
     pairs = a.join(b, "frame").filter("a_id < b_id")
     return raster.polygon_overlaps(pairs, "pa", "pb").select("frame", "a_id", "b_id", r6("iou").alias("iou"))
