@@ -44,3 +44,14 @@ def test_raster_shortcuts_equal_spans():
     kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
     assert raster.overlaps(pa.array(a, kind), pa.array(b, kind)).tolist() == [raster.overlap(x, y) for x, y in zip(a, b)]
     assert raster.overlaps(pa.array([], kind), pa.array([], kind)).tolist() == []
+
+
+def test_similarity_of_all_pairs(spark, sf_small, duck):
+    got = QUERIES["sc30_embedding_similarity"](spark, sf_small).toPandas()
+    v = sorted(((r["vec_id"], r["label"], np.array(r["vec"])) for r in A.appearance(spark, sf_small).collect()), key=lambda r: r[0])
+    want = {(i, j): np.clip((x @ y + 1) / 2, 0, 1) for i, k, x in v for j, m, y in v if i < j and k == m}
+    have = {(a, b): s for a, b, s in got[["a_id", "b_id", "similarity"]].itertuples(index=False, name=None)}
+    assert len(got) == len(have) and have.keys() == want.keys()
+    assert all(abs(have[k] - want[k]) <= 6e-7 for k in want)
+    # the SQL's rows are those whose left id 5 divides
+    assert rows_of(got[got["a_id"] % 5 == 0]) == rows_of(duck.execute(ORACLES["sc30_embedding_similarity"]).df())
