@@ -256,9 +256,9 @@ def snk04_merged_masks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_FRAGS}, tot AS (SELECT run, 60 AS n FROM fr GROUP BY run), s AS (SELECT DISTINCT fr.run, id, unnest(generate_series(0, n - 1)) AS frame FROM fr JOIN tot USING (run)) SELECT run, id, count(*) AS frames, count(x.frame) AS filled FROM s LEFT JOIN fr x USING (run, id, frame) GROUP BY run, id")
 def snk03_dense_export(spark: SparkSession, d: str) -> DataFrame:
-    """Frames 0..59 of every id, empty ones included."""
+    """All frames of the run of every id, empty ones included."""
     masks, _ = _fragment_tables(spark, d)
-    totals = masks.select("run").distinct().withColumn("n", F.lit(60))
+    totals = masks.groupBy("run").agg((F.max("frame") + 1).alias("n"))
     return fragments.densify(masks, totals).groupBy("run", "id").agg(F.count(F.lit(1)).alias("frames"), F.count("box").alias("filled"))
 
 

@@ -55,3 +55,13 @@ def test_similarity_of_all_pairs(spark, sf_small, duck):
     assert all(abs(have[k] - want[k]) <= 6e-7 for k in want)
     # the SQL's rows are those whose left id 5 divides
     assert rows_of(got[got["a_id"] % 5 == 0]) == rows_of(duck.execute(ORACLES["sc30_embedding_similarity"]).df())
+
+
+def test_dense_export_to_the_end_of_the_run(spark, sf_small):
+    from gaitline.plans.appearance import _fragment_tables
+
+    masks = _fragment_tables(spark, sf_small)[0].select("run", "id", "frame").toPandas()
+    n = masks.groupby("run")["frame"].max() + 1
+    want = {k: (n[k[0]], len(g)) for k, g in masks.groupby(["run", "id"])}
+    got = {(r["run"], r["id"]): (r["frames"], r["filled"]) for r in QUERIES["snk03_dense_export"](spark, sf_small).collect()}
+    assert got == want and max(n) > 60
