@@ -211,8 +211,8 @@ def so05_id_sets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {Q.KPW}, o AS (SELECT session, frame, track_id FROM kpw) SELECT 'pose' AS pipeline, session, frame, track_id, c0 AS nose_conf, NULL AS conf FROM kpw WHERE frame < 5 UNION ALL SELECT 'segmentation', NULL, frame, det, NULL, round(conf, 6) FROM ({'SELECT * FROM (WITH ' + Q.DET + ' SELECT * FROM det)'}) WHERE frame < 50")
 def so02_both_pipelines(spark: SparkSession, d: str) -> DataFrame:
     """Rows of two pipelines in one table; what a pipeline lacks is NULL."""
-    pose = A.keypoints(spark, d).filter("frame < 5").select(F.lit("pose").alias("pipeline"), "session", "frame", "track_id", F.col("kp")[0]["conf"].alias("nose_conf"))
-    seg = A.detections(spark, d).filter("frame < 50").select(F.lit("segmentation").alias("pipeline"), "frame", F.col("det").alias("track_id"), r6("conf").alias("conf"))
+    pose = A.keypoints(spark, d).select(F.lit("pose").alias("pipeline"), "session", "frame", "track_id", F.col("kp")[0]["conf"].alias("nose_conf"))
+    seg = A.detections(spark, d).select(F.lit("segmentation").alias("pipeline"), "frame", F.col("det").alias("track_id"), r6("conf").alias("conf"))
     return pose.unionByName(seg, allowMissingColumns=True)
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from conftest import rows_of
+from conftest import DATA, rows_of
 
 from gaitline.operators import raster
 from gaitline.plans.registry import ORACLES, QUERIES
@@ -65,3 +65,15 @@ def test_dense_export_to_the_end_of_the_run(spark, sf_small):
     want = {k: (n[k[0]], len(g)) for k, g in masks.groupby(["run", "id"])}
     got = {(r["run"], r["id"]): (r["frames"], r["filled"]) for r in QUERIES["snk03_dense_export"](spark, sf_small).collect()}
     assert got == want and max(n) > 60
+
+
+def test_union_and_round_trip_of_whole_tables(spark, sf_small, duck):
+    got = QUERIES["so02_both_pipelines"](spark, sf_small).toPandas()
+    pose = got["pipeline"] == "pose"
+    assert pose.sum() == A.signal(spark, sf_small).count() and (~pose).sum() == A.detections(spark, sf_small).count()
+    assert rows_of(got[got["frame"] < np.where(pose, 5, 50)]) == rows_of(duck.execute(ORACLES["so02_both_pipelines"]).df())
+    # the smallest tables have one session
+    more = str(DATA / "sf0.01")
+    back = QUERIES["snk01_csv_round_trip"](spark, more).toPandas()
+    want = A.signal(spark, more).selectExpr("session", "track_id", "frame", "round(v, 6) AS v").toPandas()
+    assert rows_of(back) == rows_of(want) and back["session"].max() >= 3
