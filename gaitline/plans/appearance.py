@@ -264,7 +264,7 @@ def snk03_dense_export(spark: SparkSession, d: str) -> DataFrame:
 
 def reid_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the re-identification: tracks leave for a while, and come back under another raw id."""
-    kp = A.keypoints(spark, d).filter("track_id % 20 < 4 and (frame < 20 or frame >= 26)")
+    kp = A.keypoints(spark, d).filter("frame < 20 or frame >= 26")
     u = F.col("track_id")
     sig = F.array(*((0.3 + ((u * (k + 3)) % 17) / 20.0 + ((F.col("event_id") * (k + 1)) % 5) / 1000.0).cast("double") for k in range(12)))
     none = F.lit(None).cast("array<double>")

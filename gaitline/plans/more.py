@@ -61,14 +61,18 @@ def ag18_region_color(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def jn10_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Ids after a boundary mapped to those before it, by the best overlap of any two frames, as they lie or moved on."""
+    """Ids after each boundary mapped to those before it, by the best overlap of any two frames, as they lie or moved on."""
     oracle, base = A.two_runs(spark, d)
-    prev = oracle.filter("frame between 10 and 14")
-    curr = base.filter("frame between 15 and 16")
+    # boundary k lies before frame k * CHUNK; five frames before it against two after
+    ahead = F.floor((F.col("frame") + 5) / CHUNK).cast("long")
+    prev = oracle.withColumn("boundary", ahead).filter(F.col("frame") < F.col("boundary") * CHUNK)
+    behind = F.floor(F.col("frame") / CHUNK).cast("long")
+    curr = base.withColumn("boundary", behind).filter((F.col("boundary") > 0) & (F.col("frame") < F.col("boundary") * CHUNK + 2))
+    keys = ["session", "boundary"]
     mid = lambda a, b: (F.col(f"box.{a}") + F.col(f"box.{b}")) / 2.0
-    speed = chunks.velocities(prev, ["session", "id"], mid("x0", "x1"), mid("y0", "y1"))
-    scores = chunks.anchor_scores(prev, curr, ["session"], speed)
-    return matching.assign(scores, ["session"], "prev_id", "curr_id", "best_iou").filter("best_iou >= 0.3")
+    speed = chunks.velocities(prev, [*keys, "id"], mid("x0", "x1"), mid("y0", "y1"))
+    scores = chunks.anchor_scores(prev, curr, keys, speed)
+    return matching.assign(scores, keys, "prev_id", "curr_id", "best_iou").filter("best_iou >= 0.3")
 
 
 @query(f"""WITH {Q.RUNS}, r AS (SELECT unnest([1, 2, 3]) AS k) SELECT k AS config, session, count(DISTINCT CASE WHEN k = 1 THEN baseline_id WHEN k = 2 THEN oracle_id ELSE baseline_id * 2 END) AS ids, count(*) AS matched FROM r, corr WHERE baseline_id IS NOT NULL GROUP BY k, session""")
@@ -113,12 +117,11 @@ def str17_monotone_times(spark: SparkSession, d: str) -> DataFrame:
 def str08_reidentify_segments(spark: SparkSession, d: str) -> DataFrame:
     """At most six people in a session, whatever raw ids come."""
     oracle, _ = A.two_runs(spark, d)
-    some = oracle.filter("id < 6")
     mid = lambda a, b: (F.col(f"box.{a}") + F.col(f"box.{b}")) / 2.0
     w, h = (F.col("box.x1") - F.col("box.x0")).cast("double"), (F.col("box.y1") - F.col("box.y0")).cast("double")
     none = F.lit(None).cast("array<double>")
     raw = F.col("id") + 100 * F.floor(F.col("frame") / CHUNK).cast("long")
-    rows = some.select("session", "frame", (F.col("frame") / FPS).alias("t_s"), raw.alias("raw_id"), mid("x0", "x1").alias("x"), mid("y0", "y1").alias("y"), F.sqrt(w * h).alias("scale"), F.try_divide(w, h).alias("aspect"), F.lit(1.0).alias("fill"), none.alias("hue"), none.alias("embedding"))
+    rows = oracle.select("session", "frame", (F.col("frame") / FPS).alias("t_s"), raw.alias("raw_id"), mid("x0", "x1").alias("x"), mid("y0", "y1").alias("y"), F.sqrt(w * h).alias("scale"), F.try_divide(w, h).alias("aspect"), F.lit(1.0).alias("fill"), none.alias("hue"), none.alias("embedding"))
     return R.resolve_segments(rows, 6)
 
 

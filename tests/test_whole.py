@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 from conftest import DATA, rows_of
+from pyspark.sql import functions as F
 
 from gaitline.operators import raster
 from gaitline.plans.registry import ORACLES, QUERIES
@@ -77,3 +78,33 @@ def test_union_and_round_trip_of_whole_tables(spark, sf_small, duck):
     back = QUERIES["snk01_csv_round_trip"](spark, more).toPandas()
     want = A.signal(spark, more).selectExpr("session", "track_id", "frame", "round(v, 6) AS v").toPandas()
     assert rows_of(back) == rows_of(want) and back["session"].max() >= 3
+
+
+def test_every_boundary_is_reconciled(spark, sf_small):
+    from gaitline.operators import chunks, matching
+    from gaitline.plans.identity import CHUNK
+
+    last = A.signal(spark, sf_small).agg({"frame": "max"}).first()[0]
+    got = QUERIES["jn10_reconcile"](spark, sf_small).toPandas()
+    assert set(got["boundary"]) <= set(range(1, last // CHUNK + 1)) and got["boundary"].max() > 1
+    # a boundary by itself, as the query did for the first
+    oracle, base = A.two_runs(spark, sf_small)
+    x, y = ((F.col(f"box.{c}0") + F.col(f"box.{c}1")) / 2.0 for c in "xy")
+    for k in (1, int(got["boundary"].max())):
+        prev = oracle.filter(f"frame between {k * CHUNK - 5} and {k * CHUNK - 1}")
+        curr = base.filter(f"frame between {k * CHUNK} and {k * CHUNK + 1}")
+        scores = chunks.anchor_scores(prev, curr, ["session"], chunks.velocities(prev, ["session", "id"], x, y))
+        want = matching.assign(scores, ["session"], "prev_id", "curr_id", "best_iou").filter("best_iou >= 0.3").toPandas()
+        assert rows_of(got[got["boundary"] == k].drop(columns="boundary")) == rows_of(want)
+
+
+def test_reidentification_sees_all_tracks(spark, sf_small):
+    kp = A.keypoints(spark, sf_small)
+    out = QUERIES["str08_reidentify_segments"](spark, sf_small).toPandas()
+    here = A.two_runs(spark, sf_small)[0].select("session", "frame", "id").toPandas()
+    ids = out["raw_id"] % 100
+    assert set(ids) == set(here["id"]) and ids.max() >= 6 and len(out) == len(here)
+    assert out.groupby("session")["person_id"].nunique().max() <= 6
+    rows = QUERIES["str03_reidentify"](spark, sf_small).toPandas()
+    raw = rows.loc[rows["raw_id"].notna(), "raw_id"] // 2
+    assert set(raw.astype(int)) == {r["track_id"] for r in kp.select("track_id").distinct().collect()} and (raw % 20).max() >= 4
