@@ -24,6 +24,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_CHARS, PART_CHARS = 6, 18
 #: Bounds of the sample that the probabilities are learned from: documents a language, and languages.
 TRAIN_DOCS, MAX_LANGUAGES = 300, 200
+#: Steps of the sampling rate.
+GRAIN = 1 << 40
 ROUNDS = 2
 #: Pseudo-words of the pooled distribution added to each language; probability of a character beyond the vocabulary.
 SMOOTHING, UNKNOWN = 2000.0, 1e-7
@@ -155,17 +157,18 @@ def train(counts: Iterable[tuple[str, str, int]], languages: list[str], pieces:
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """The model of docs whose lang and text aren't null: of each language about train_docs documents at most,
-    drawn by a hash of the text. Over max_languages languages: ValueError. No rows: a model without languages.
+    """The model of docs whose lang and text aren't null: of each language about train_docs distinct texts at most,
+    with their copies, drawn by a hash of the text. Over max_languages languages: ValueError. No rows: a model without languages.
     """
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    sizes = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().limit(max_languages + 1).collect()]
+    # copies of a text are drawn together, so the rate is of distinct texts; a language that has rows has one at least
+    sizes = [(r["lang"], max(1, r["n"])) for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(max_languages + 1).collect()]
     if len(sizes) > max_languages:
         raise ValueError(f"over {max_languages} languages")
     if not sizes:
         return Model([], {}, np.zeros((2, 0)))
-    share = F.create_map(*(F.lit(x) for k, n in sizes for x in (k, int(min(1.0, train_docs / n) * 1_000_000))))
-    some = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*(F.lit(x) for k, n in sizes for x in (k, min(GRAIN, -(-train_docs * GRAIN // n)))))
+    some = known.filter(F.pmod(F.xxhash64("text"), F.lit(GRAIN)) < share[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], int] = {}
