@@ -1,5 +1,9 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import hashlib
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,10 +131,49 @@ def test_shuffled_search_equals_broadcast(docs, spark):
     assert a == b and a
 
 
-def test_proximity(docs, spark):
-    items = spark.createDataFrame([(1, "word1 and1 word2 and2 word3 and3")], "item_id long, text string")
-    found = decontam.proximity_matches(docs.filter("doc_id = 1"), items, n_terms=3, slack=2)
-    assert (1, 2) in {(r["doc_id"], r["start"]) for r in found.collect()}
+def test_proximity_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    said = lambda n, kinds: " ".join(f"t{k}" for k in (rng.zipf(1.5, n) % kinds))
+    texts = {k: said(int(rng.integers(0, 60)), 40) for k in range(60)} | {99: None}
+    tests = {k: said(int(n), 40) for k, n in enumerate((16, 14, 13, 5, 2, 1))} | {7: "", None: texts[3] or "t1"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(tests.items()), "item_id long, text string")
+    df = Counter(w for t in texts.values() for w in (t or "").split())
+    for n_terms, slack, most in ((3, 2, 1000), (2, 1, 0), (3, 0, 1000)):
+        want = set()
+        for item, text in tests.items():
+            ws = text.split()
+            for at in range(max(1, len(ws) - 12) if ws else 0):
+                win = ws[at : at + 13]
+                if any(not df[w] for w in win):
+                    continue
+                rare = sorted((df[w], w, k) for k, w in enumerate(win))[:n_terms]
+                for doc, t in texts.items():
+                    has = lambda p: {q for q, w in enumerate((t or "").split()) if w == p}  # noqa: E731, B023
+                    starts = {q - rare[0][2] for q in has(rare[0][1])}
+                    want |= {(doc, item, at, s) for s in starts if all(any(abs(q - s - k) <= slack for q in has(w)) for _, w, k in rare[1:])}
+        got = decontam.proximity_matches(docs, items, n_terms=n_terms, slack=slack, broadcast_windows=most).select("doc_id", "item_id", "at", "start").collect()
+        assert set(map(tuple, got)) == want and len(got) == len(want) and want
+
+
+def test_null_items_count(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "x"), (None, "d")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(docs, items).collect()}
+    digest = hashlib.sha256(b"5").hexdigest()
+    assert [(got[k]["n_hit"], got[k]["n_items"], got[k]["items_sha256"]) for k in (1, 2)] == [(4, 2, digest), (4, 2, digest)]
+
+
+def test_a_frequent_term_is_dealt_in_slices(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('of the ', 20) || 'word' || id AS text")
+    items = spark.createDataFrame([(1, "of the of the"), (2, "the word7")], "item_id long, text string")
+    cut, _ = decontam.windows(items)
+    for small in (True, False):
+        index, slices = decontam.store(docs, decontam.term_counts(docs, cut, small), small)
+        cells = {(r["term"], r["slice"]): r["count"] for r in index.groupBy("term", "slice").count().collect()}
+        assert sum(cells.values()) == 16_001 and max(cells.values()) < 60 and slices.filter("slices > 1").count() == 2
+    got = {r["doc_id"]: r["n_hit"] for r in decontam.contamination(docs, items).collect()}
+    assert got == {k: 40 + (k == 7) for k in range(400)}
 
 
 def test_chat(spark):
