@@ -23,6 +23,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _STARTS_CHAR = (np.arange(256) & 0xC0) != 0x80
 _powers = np.ones(1, np.uint64)
+_roll_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +42,14 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
+def _rolls(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd factor of rolling hashes, and of its inverse modulo 2^64: n of each at least."""
+    global _roll_powers
+    if len(_roll_powers[0]) < n:
+        _roll_powers = tuple(np.cumprod(np.concatenate(([_U(1)], np.full(2 * n, x, np.uint64)))) for x in (_ROLL, _U(pow(int(_ROLL), -1, 1 << 64))))
+    return _roll_powers
+
+
 @dataclass
 class Words:
     """The words of some texts. Places are in bytes of `data`."""
@@ -119,12 +128,21 @@ def words_of(texts: pa.LargeStringArray, lower: bool, most: int = SLICE_BYTES) -
         yield Words(first, data, bounds, start, end, doc, mix(total ^ (size.astype(np.uint64) * _ROLL)))
 
 
+def rolling(hashes: np.ndarray) -> np.ndarray:
+    """Prefix sums of the hashes weighed by rising powers: any run's hash is a difference of two, brought to power 0."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _rolls(len(hashes))[0][: len(hashes)], out=total[1:])
+    return total
+
+
+def run_hashes(prefix: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the run of n words from each start, by the rolling prefix; the same wherever the run is."""
+    return mix((prefix[start + n] - prefix[start]) * _rolls(len(prefix))[1][start])
+
+
 def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all runs of n words, which of them lie in one text); empty where there are fewer words."""
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    total = np.zeros(m, np.uint64)
-    for k in range(n):
-        total = total * _ROLL + hashes[k : k + m]
-    return mix(total), doc[:m] == doc[n - 1 :]
+    return run_hashes(rolling(hashes), np.arange(m), n), doc[:m] == doc[n - 1 :]

@@ -55,8 +55,8 @@ dl AS (SELECT id, count(*) AS n, sum(length(array_to_string(regexp_extract_all(l
 {', '.join(_grams(n) for n in GRAM_LIMITS)},
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, CAST(coalesce(c{BASE_GRAM}.words, 0) AS BIGINT) AS n_repeat_words,
 CAST(coalesce(dl.chars, 0) AS BIGINT) AS dup_line_chars, {', '.join(f'CAST(coalesce(c{n}.chars, 0) AS BIGINT) AS dup_{n}gram_chars' for n in GRAM_LIMITS)} FROM d LEFT JOIN dl USING (id) {' '.join(f'LEFT JOIN c{n} USING (id)' for n in GRAM_LIMITS)}),
-b AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_SHARE} * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND NOT (dup_line_chars > {LINE_LIMIT!r}e0 * greatest(word_chars, 1) OR {_LIMITS} OR n_symbols > {SYMBOL_LIMIT!r}e0 * n_words) AS kept FROM b"""
+b AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_SHARE} * n_words AS base_failed, dup_line_chars > {LINE_LIMIT!r}e0 * greatest(word_chars, 1) OR {_LIMITS} AS coverage_failed, n_symbols > {SYMBOL_LIMIT!r}e0 * n_words AS symbol_failed FROM m)
+SELECT *, NOT base_failed AND NOT coverage_failed AS kept FROM b"""
 
 _ITEM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP10 = f"""

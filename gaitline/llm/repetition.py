@@ -1,8 +1,8 @@
 """Quality rules: repetition coverage.
 
-Rolling hashes of several n-gram lengths over the words, in numpy; for each length the characters inside n-grams
-that occur again in the same text, and the characters of lines that occur again, as shares of all
-characters in words. A text fails when a share passes its limit.
+Rolling hashes of several n-gram lengths over the words, in numpy: one pass of prefix sums, from which any run's hash is a
+difference. For each length the characters inside n-grams that occur again in the same text, and the characters of lines
+that occur again, as shares of all characters in words. A text fails when a share passes its limit.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import as_strings, grams, mix, in_parts, words_of, Words
+from .kernel import as_strings, in_parts, mix, rolling, run_hashes, words_of, Words
 
 #: N-gram length -> largest share of characters inside duplicated n-grams, and one for lines. From
 #: length 5 and for lines the published limits for web text, below the base rule's share. The published limits of the
@@ -22,7 +22,7 @@ from .kernel import as_strings, grams, mix, in_parts, words_of, Words
 #: labelled good (0.25 at most) and of labelled bad ones that repeat short runs only (1.0), see the README.
 GRAM_LIMITS = {2: 0.50, 3: 0.50, 4: 0.50, 5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.20
-#: Symbols to a word, and the share of words that are a lone bar, above which a text is markup or noise.
+#: Symbols to a word above which a text is reported as markup or noise; no part of the verdict.
 SYMBOL_LIMIT = 0.30
 SYMBOLS = b"#*$%&|<>"
 BASE_GRAM, BASE_WORDS, BASE_SHARE = 5, 10, 20
@@ -44,19 +44,19 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 def in_repeats_of(w: Words, lengths: Iterable[int]) -> dict[int, np.ndarray]:
     """Length -> which words lie in a run of so many words found twice or more in its text, the first included."""
-    out, may = {}, np.ones(len(w.hash), bool)
+    out, prefix = {}, rolling(w.hash)
+    upto = np.cumsum(w.counts())[w.doc] if len(w.hash) else np.zeros(0, np.int64)
+    where = np.arange(len(w.hash))
+    # the text is part of the key: repeats across texts don't count
+    text = w.doc.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
     for n in sorted(lengths):
-        key, whole = grams(w.hash, w.doc, n)
-        inside = np.zeros(len(w.hash) + 1, np.int32)
         # a run that repeats begins with a shorter run that repeats
-        where = np.flatnonzero(whole & may[: len(whole)])
-        # the text is part of the key: repeats across texts don't count
-        hit = where[_repeated(mix(key[where] + w.doc[where].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))]
-        np.add.at(inside, hit, 1)
-        np.add.at(inside, hit + n, -1)
+        where = where[where + n <= upto[where]]
+        where = where[_repeated(mix(run_hashes(prefix, where, n) + text[where]))]
+        inside = np.zeros(len(w.hash) + 1, np.int32)
+        np.add.at(inside, where, 1)
+        np.add.at(inside, where + n, -1)
         out[n] = np.cumsum(inside[:-1]) > 0
-        may = np.zeros(len(w.hash), bool)
-        may[hit] = True
     return out
 
 
@@ -136,11 +136,15 @@ def coverage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """coverage()'s rows with base_failed and kept booleans: kept if neither the base rule nor a limit is broken."""
+    """coverage()'s rows with base_failed, coverage_failed, symbol_failed and kept booleans.
+
+    kept: neither the base rule nor a limit of lines or n-grams is broken. symbol_failed tells of markup and noise, for the
+    caller to act on. No row is added or lost; a text without words fails the base rule only.
+    """
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_SHARE * F.col("n_words"))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     broken = F.col("dup_line_chars") > LINE_LIMIT * chars
     for n, most in GRAM_LIMITS.items():
         broken = broken | (F.col(f"dup_{n}gram_chars") > most * chars)
-    broken = broken | (F.col("n_symbols") > SYMBOL_LIMIT * F.col("n_words"))
-    return measured.withColumn("base_failed", base).withColumn("kept", ~base & ~broken)
+    out = measured.withColumn("base_failed", base).withColumn("coverage_failed", broken)
+    return out.withColumn("symbol_failed", F.col("n_symbols") > SYMBOL_LIMIT * F.col("n_words")).withColumn("kept", ~F.col("base_failed") & ~F.col("coverage_failed"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from gaitline.llm import repetition
-from gaitline.llm.kernel import words_of
+from gaitline.llm.kernel import rolling, run_hashes, words_of
 
 
 def _once(n, first=0):
@@ -31,3 +31,20 @@ def test_lengths_in_one_pass_equal_brute_force():
                 hit = {j for i, r in enumerate(runs) if runs.count(r) > 1 for j in range(i, i + n)}
                 want += [i in hit for i in range(len(t))]
             assert inside.tolist() == want
+
+
+def test_coverage_alone_rejects_texts(spark):
+    """Of the tables' texts past the base rule some break a limit of coverage; symbols are reported and decide nothing."""
+    out = repetition.judge(repetition.coverage(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))).toPandas()
+    past = out[~out.base_failed]
+    alone = past[past.coverage_failed]
+    assert len(alone) > 0 and not alone.kept.any()
+    assert past[~past.coverage_failed].kept.all() and past[past.symbol_failed].kept.any()
+
+
+def test_run_hashes_are_the_same_wherever_a_run_is():
+    words = np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64)
+    both = np.concatenate((words, words[::-1], words))
+    for n in (1, 2, 5, 10):
+        got = run_hashes(rolling(both), np.arange(len(both) - n + 1), n)
+        assert (got[: 51 - n] == got[100 : 151 - n]).all() and len(set(got.tolist())) == len({tuple(both[i : i + n]) for i in range(len(got))})
