@@ -123,14 +123,54 @@ def test_language_on_held_out_rows(spark):
 def test_forward_sums_all_segmentations():
     pieces = ["▁a", "▁ab", "b", "bc", "c", "▁abc"]
     p = np.array([[0.2], [0.1], [0.3], [0.15], [0.2], [0.05], [0.0], [1e-7]])
-    lattice = langid.Lattice({x: k for k, x in enumerate(pieces)})
-    words = ["▁abc"]
     # ▁ alone is beyond the vocabulary: its paths are as unlikely as that
     paths = 0.2 * 0.3 * 0.2 + 0.2 * 0.15 + 0.1 * 0.2 + 0.05
-    z = langid.forward(lattice.ids(words), p)[0, -1, 0]
-    assert z == pytest.approx(paths, rel=1e-5)
-    uses = langid.expected(lattice.ids(words), p, np.array([[1.0]]))
-    assert uses[5, 0] == pytest.approx(0.05 / paths, rel=1e-4) and uses[0, 0] == pytest.approx((0.012 + 0.03) / paths, rel=1e-4)
+    e = langid.Trie(pieces).edges(["▁abc", "▁c"])
+    assert langid.forward(e, p)[e.last[0], 0] == pytest.approx(paths, rel=1e-5)
+    assert np.exp(langid.forward(e, np.log(np.maximum(p, 1e-300)), True)[e.last[0], 0]) == pytest.approx(paths, rel=1e-5)
+    for logs in (False, True):
+        uses = langid.expected(langid.Trie(pieces).edges(["▁abc"]), p, np.array([[1.0]]), logs)
+        assert uses[5, 0] == pytest.approx(0.05 / paths, rel=1e-4) and uses[0, 0] == pytest.approx((0.012 + 0.03) / paths, rel=1e-4)
+
+
+@pytest.fixture(scope="module")
+def language_model(spark, sf_small):
+    return langid.learn(spark.read.parquet(f"{sf_small}/documents.parquet"))
+
+
+def naive_log_score(text, model):
+    """Every segmentation of every run of letters, by a plain recursion over its places."""
+    import regex
+
+    number, longest = {x: k for k, x in enumerate(model.pieces)}, max(map(len, model.pieces))
+    out = np.zeros(len(model.languages))
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        for run in regex.findall(r"\p{L}+", word.translate(LOW).lower()):
+            run = "▁" + run
+            z = [np.zeros(len(out))] + [np.full(len(out), -np.inf) for _ in run]
+            for j in range(1, len(run) + 1):
+                for i in range(max(0, j - longest), j):
+                    k = number.get(run[i:j], len(number) + 1 if j == i + 1 else None)
+                    if k is not None:
+                        z[j] = np.logaddexp(z[j], z[i] + np.log(model.p[k]))
+            out += z[-1]
+    return out
+
+
+def test_scores_of_whole_texts_equal_all_segmentations(spark, sf_small, language_model):
+    model = language_model
+    assert max(map(len, model.pieces)) > 12 and len(model.pieces) > 23_000
+    known = [t for t in texts(spark, sf_small).values() if t][:25] + ["x" * 400 + " Straßenbahnhaltestellenverzeichnis" * 3, "ÄÖÜ internationalisation's 12ab34 日本語"]
+    names, score = langid.classify(pa.array(known, pa.large_string()), model)
+    for t, name, got in zip(known, names, score):
+        row = naive_log_score(t, model)
+        assert name == model.languages[int(row.argmax())] and got == pytest.approx(1 / np.exp(row - row.max()).sum(), rel=1e-6)
+
+
+def test_very_long_words_and_broken_text(language_model):
+    broken = pa.array([b"caf\xe9 der die das", b"\xff\xfe 12", b"a" * 200_000 + b" the"], pa.large_binary()).view(pa.large_string())
+    names, score = langid.classify(broken, language_model)
+    assert names[0] != "und" and names[1] == "und" and names[2] != "und" and (0 <= score).all() and (score <= 1).all()
 
 
 # --- language model ------------------------------------------------------------------------------------------------
