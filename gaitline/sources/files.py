@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,17 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that executors share (spark.checkpoint.dir), or in a local one where it is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Where it is unset a local one serves if driver and executors
+    are one process, as in tests; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaitline-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gaitline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def settled(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder; what is there goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{path}/rows"
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read again, for a result that several consumers need."""
-    path = scratch(df.sparkSession)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
