@@ -2,46 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaitline.sources.files import scratch
+
 #: Fixed value: a word is a run of anything but these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _VECTORED = "spark.sql.execution.arrow.maxRecordsPerBatch", "parquet.hadoop.vectored.io.enabled"
 
 
 def steady_reads(spark: SparkSession) -> None:
     """From now on this session's Parquet scans read column chunks one after another: with vectored reads each reading
-    thread keeps a buffer outside the heap as large as the largest chunk of texts that it has met.
+    thread keeps a buffer outside the heap as large as the largest chunk of texts that it has met. For stages whose
+    input another has opened; read() and through_disk() say so for their own scans only.
     """
-    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    spark.conf.set(_VECTORED, "false")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    steady_reads(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaitline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return spark.read.option(_VECTORED, "false").parquet(f"{sf_dir}/{table}.parquet")
 
 
 def through_disk(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors.
 
-    A table without rows comes back with its schema. While it is written, rows go to Python in batches of BATCH_ROWS,
+    A table without rows comes back with its schema; the files go when the driver's JVM ends. While it is written, rows go to Python in batches of BATCH_ROWS,
     so that a batch of texts is a few megabytes.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    steady_reads(df.sparkSession)
+    path = scratch(df.sparkSession, name)
     conf = df.sparkSession.conf
     before = conf.get(_BATCH)
     conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
@@ -49,7 +39,7 @@ def through_disk(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(_BATCH, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.option(_VECTORED, "false").schema(df.schema).parquet(path)
 
 
 def fold(doc_id: Column, n: int) -> Column:
