@@ -49,10 +49,18 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.posexplode(words(F.col(text))).alias("pos", "term"))
 
 
+#: Files that a table bounded by BROADCAST_WINDOWS is written to.
+SMALL_FILES = 4
+
+
 def _sided(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _written(df: DataFrame, name: str, small: bool) -> DataFrame:
+    return through_disk(df.coalesce(SMALL_FILES) if small else df, name)
+
+
 def term_counts(docs: DataFrame, cut: DataFrame, small: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """term, df: postings of each term of the windows over all documents; summed by task before the shuffle either way."""
     vocabulary = cut.select(F.explode("terms").alias("term")).distinct()
@@ -61,7 +69,7 @@ def term_counts(docs: DataFrame, cut: DataFrame, small: bool, doc_id: str = "doc
         counts = each.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     else:
         counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, "term")
-    return through_disk(counts, "terms")
+    return _written(counts, "terms", small)
 
 
 def tracks(cut: DataFrame, counts: DataFrame, n_terms: int = LISTS) -> DataFrame:
@@ -128,9 +136,9 @@ def intersect(index: DataFrame, slices: DataFrame, found: DataFrame, small: bool
 
 def _search(docs: DataFrame, cut: DataFrame, small: bool, doc_id: str, text: str, n_terms: int, slack: int) -> DataFrame:
     counts = term_counts(docs, cut, small, doc_id, text)
-    found = through_disk(tracks(cut, counts, n_terms), "tracks")
+    found = _written(tracks(cut, counts, n_terms), "tracks", small)
     needed = found.select(F.explode("terms").alias("term")).distinct()
-    index, slices = store(docs, through_disk(counts.join(needed, "term", "left_semi"), "terms"), small, doc_id, text)
+    index, slices = store(docs, _written(counts.join(needed, "term", "left_semi"), "terms", small), small, doc_id, text)
     return intersect(index, slices, found, small, n_terms, slack)
 
 
@@ -138,6 +146,12 @@ def _few(cut: DataFrame, broadcast_windows: int) -> bool:
     return cut.limit(broadcast_windows + 1).count() <= broadcast_windows
 
 
+def _windows(items: DataFrame, text: str, length: int, broadcast_windows: int) -> tuple[DataFrame, DataFrame, bool]:
+    cut, names = windows(items, "item_id", text, length)
+    small = _few(cut, broadcast_windows)
+    return cut if small else through_disk(cut, "windows"), names, small
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, broadcast_windows: int = BROADCAST_WINDOWS, n_terms: int = LISTS) -> DataFrame:
     """doc_id, key, item_id, at, start, length: every occurrence of every window in every document.
 
@@ -146,9 +160,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     same matches once; an empty table of documents or items gives no row; other columns are not looked at. A null
     item_id is an item like any other. The windows are broadcast if they number at most broadcast_windows, counted first.
     """
-    cut, names = windows(items, "item_id", text, length)
-    cut = through_disk(cut, "windows")
-    small = _few(cut, broadcast_windows)
+    cut, names, small = _windows(items, text, length, broadcast_windows)
     met = _search(docs, cut, small, doc_id, text, n_terms, 0).select("doc_id", "key", "item", "shift", F.explode("ends").alias("end"))
     some = met.withColumn("start", F.col("shift") + F.col("end.at")).filter("start >= 0")
     some = through_disk(some.groupBy(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).agg(F.collect_set(F.struct("item", "start", "end")).alias("some")), "met")
@@ -168,9 +180,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     start: where the window would begin by its rarest term (by frequency, then code point, then place); it may lie before
     the text. Windows of fewer words need all of theirs. Nulls, empty texts and empty tables as in phrase_matches().
     """
-    cut, names = windows(items, "item_id", text, length)
-    cut = through_disk(cut, "windows")
-    small = _few(cut, broadcast_windows)
+    cut, names, small = _windows(items, text, length, broadcast_windows)
     met = _search(docs, cut, small, doc_id, text, n_terms, slack).select("doc_id", "key", "item", "shift", F.explode("ends.at").alias("at"))
     return met.join(_sided(names, small), "item").select("doc_id", "key", "item_id", "at", (F.col("shift") + F.col("at")).alias("start")).distinct()
 
