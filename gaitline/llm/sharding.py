@@ -63,11 +63,12 @@ def slot_of(key: Column, size: int) -> Column:
 def place(df: DataFrame, key: str, names: Sequence[str], size: int = TABLE_SIZE, weights: Sequence[int] | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """df with slot_col int and shard_col int (index in names) added or replaced; one row out for each row in.
 
-    Rows of the same key go to the same shard. Null keys share one slot; an empty table stays empty.
+    Rows of the same key go to the same shard. Null keys share one slot; an empty table stays empty. A key column of
+    either name serves as the key and is then replaced.
     No shuffle: the table goes to the executors once (size slots of 4 bytes, at most MAX_TABLE of them).
     """
     kept = df.drop(slot_col, shard_col)
     owners = lookup_table(names, size, weights).tolist()
     table = df.sparkSession.createDataFrame(list(enumerate(owners)), f"`{slot_col}` int, `{shard_col}` int")
-    placed = kept.withColumn(slot_col, slot_of(F.col(f"`{key}`"), size)).join(F.broadcast(table), slot_col)
+    placed = df.select(*(f"`{c}`" for c in kept.columns), slot_of(F.col(f"`{key}`"), size).alias(slot_col)).join(F.broadcast(table), slot_col)
     return placed.select(*(f"`{c}`" for c in kept.columns), slot_col, shard_col)
