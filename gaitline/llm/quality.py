@@ -24,6 +24,8 @@ N_FEATURES, WIDTH, RIDGE, SEED = 256, 6.0, 1.0, 17
 TRAIN_ROWS = 200_000
 #: Partitions of the sums: each sends one matrix of N_FEATURES by N_FEATURES.
 SUM_PARTS = 8
+#: Steps of the sampling rate.
+GRAIN = 1 << 40
 THRESHOLD = 0.3
 
 STATISTICS = (
@@ -129,11 +131,12 @@ def fit(rows: DataFrame, label: str, calibrate: Column, train_rows: int = TRAIN_
     """The model of rows with x and a 0/1 label; about train_rows of them at most, by a hash of x.
 
     calibrate: which rows are held back for the calibration. Without rows of either label all scores are 0.5.
+    The labelled rows go through the shared folder, as several passes read them.
     """
-    known = rows.select("x", F.col(label).cast("double").alias("y"), calibrate.alias("held")).filter("y is not null")
+    known = through_disk(rows.select("x", F.col(label).cast("double").alias("y"), calibrate.alias("held")).filter("y is not null"), "training")
     n = known.count()
-    share = min(1.0, train_rows / max(1, n))
-    some = known.filter(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < int(share * 1_000_000)).repartition(SUM_PARTS)
+    share = min(GRAIN, -(-train_rows * GRAIN // max(1, n)))
+    some = known.filter(F.pmod(F.xxhash64("x"), F.lit(GRAIN)) < share).repartition(SUM_PARTS)
     d = len(STATISTICS)
     moments = some.select(*(F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(d)), *(F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in range(d))).first()
     if not n or moments[0] is None:
@@ -187,7 +190,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """doc_id, train, score double, predicted int; one row for each row of docs.
+    """doc_id, train, score double, predicted int; one row for each row of docs, none for an empty table.
 
     train, calibrate: over docs' id; which labelled rows may be learned from, and which of them calibrate. Labels
     are joined by id (a repeated or null label row of an id counts as its largest); null ids have no label.
