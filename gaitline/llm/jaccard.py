@@ -200,7 +200,7 @@ def _gather(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, n_keys, n_slots, seen = TaskContext.get().partitionId() << 24, [], 0, 0, set()
         for b in in_parts(batches):
-            ids = np.array(b.column(0).fill_null(0)), np.array(b.column(0).is_valid())
+            ids, text_keys = (np.array(b.column(0).fill_null(0)), np.array(b.column(0).is_valid())), np.array(b.column(2))
             for w in words_of(as_strings(b.column(1)), lower=True):
                 doc, keys = shingle_sets(w)
                 cls, size = class_of(doc, keys, w.n_docs)
@@ -218,7 +218,7 @@ def _gather(n: int, percent: int):
                     parts.append((hashes, slot + at))
                     at += len(texts)
                 meta = {
-                    "doc_id": ids[0][own], "valid": ids[1][own], "cls": cls, "size": size,
+                    "doc_id": ids[0][own], "valid": ids[1][own], "key": text_keys[own], "cls": cls, "size": size,
                     "slot_cls": np.concatenate([cls[s[0]] for s in sent]) if sent else np.zeros(0, np.int64),
                     "need": np.concatenate([s[1] for s in sent]) if sent else np.zeros(0, np.int64),
                     "total": np.concatenate([np.bincount(s[3], minlength=len(s[0])) for s in sent]) if sent else np.zeros(0, np.int64),
@@ -281,16 +281,16 @@ def _alive(table: pa.Table) -> pa.Table:
     open_ = np.unique(meta["slot_cls"][meta["total"] - lonely >= meta["need"]])
     alive = np.isin(meta["cls"], open_) & (meta["size"] > 0)
     ids = pa.array(meta["doc_id"], pa.int64(), mask=~meta["valid"])
-    return pa.table([ids, pa.array(meta["cls"]), pa.array(meta["size"].astype(np.int64)), pa.array(alive)], ["doc_id", "cls", "n", "alive"])
+    return pa.table([ids, pa.array(meta["key"]), pa.array(meta["cls"]), pa.array(meta["size"].astype(np.int64)), pa.array(alive)], ["doc_id", "key", "cls", "n", "alive"])
 
 
 def sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, cls, n, alive: each row's set, its size, and whether another set may link with it."""
+    """doc_id, key, cls, n, alive: each row's text (a hash), set, its size, and whether another set may link with it."""
     n = n_ranges(docs, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
     sent = rows.mapInArrow(_gather(n, percent), _META)
     back = sent.groupBy("range").applyInArrow(_alone, "chunk long, slots binary, counts binary, meta binary")
-    return through_disk(back.groupBy("chunk").applyInArrow(_alive, "doc_id long, cls long, n long, alive boolean"), "sets")
+    return through_disk(back.groupBy("chunk").applyInArrow(_alive, "doc_id long, key long, cls long, n long, alive boolean"), "sets")
 
 
 #: Shingles counted in so many parts of the universe, for a bound on the distance of two sets before theirs are sent.
@@ -384,7 +384,7 @@ def _pairs(index: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The whole join: (membership: doc_id, cls, n; pairs: a, b of linked classes, a < b).
+    """The whole join: (membership: doc_id, key, cls, n; pairs: a, b of linked classes, a < b).
 
     Grows with the number of links between different sets; linked() doesn't.
     """
@@ -537,17 +537,21 @@ def _met(probes: DataFrame, index: DataFrame, survivors: DataFrame, percent: int
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles long, component_id long; one row for each row of docs.
+    """doc_id, n_shingles long, component_id long, key long; one row for each row of docs, none for an empty table.
 
     Two documents link when 100 * intersection >= percent * union of their sets of 5-word shingles (with fewer words,
     the whole sequence). component_id: the smallest doc_id that links reach, itself included. Null and empty
     texts have empty sets and link with nothing; a null doc_id links with nothing either and has a null component.
-    Rows of equal text are one set; rows that repeat an id with other texts each join their own component. Other
-    columns are not looked at. Shingles are 64-bit hashes.
+    Rows of equal text are one set; rows that repeat an id with other texts each join their own component; key, a
+    hash of the text, tells them apart. Other columns are not looked at. Shingles are 64-bit hashes.
     """
     found = sets(docs, doc_id, text, percent)
     labels = class_labels(docs, found, doc_id, text, percent)
-    named = found.join(labels, "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
-    real = named.filter("n > 0 and doc_id is not null")
-    least = real.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return real.join(least, "label").select("doc_id", "n", "component_id").unionByName(named.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
+    # one row a set: of sets with several documents or links the smallest id, of each component the smallest of these
+    firsts = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held"))
+    groups = through_disk(firsts.join(_sided(labels), "cls", "left").filter("held > 1 or label is not null").select("cls", F.coalesce("label", "cls").alias("label"), "first"), "groups")
+    least = through_disk(groups.groupBy("label").agg(F.min("first").alias("component_id")), "least")
+    owner = through_disk(groups.join(_sided(least), "label").select("cls", "component_id"), "owners")
+    named = found.join(_sided(owner), "cls", "left")
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), "key")
