@@ -2,8 +2,8 @@ r"""Chat formatting with a grammar round trip, in DataFrame operations only.
 
 The template of a turn is "### <Role>: <text> </turn>" and a line feed. A deterministic parser (split at the
 end mark, then take the role up to its mark) reads the formatted conversation back. Turns that hold control
-strings are escaped; if what is read back differs from the source, all turns are, roles included, which always
-reads back the same: an escaped turn is marked by "!" for ":", and its backslash, "#" and "<" are written
+strings are escaped; if what is read back differs from the source, all turns are, roles included, and what
+is read back is compared again (an error if it differs): an escaped turn is marked by "!" for ":", and its backslash, "#" and "<" are written
 \b, \h and \l, so neither mark can occur inside.
 """
 
@@ -73,7 +73,7 @@ def _reads_back(formatted: Column, turns: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained_role: str = TRAINED_ROLE) -> DataFrame:
-    """One row for each conversation: conv_id, n_turns, formatted, level (0: nothing to escape, 1: conflicting turns escaped, 2: all), and
+    """One row for each conversation, none for an empty table: conv_id, n_turns, formatted, level (0: nothing to escape, 1: conflicting turns escaped, 2: all), and
     turns array<struct<role, text, start, length>> as read back, with each text's place in formatted, and
     loss_mask array<struct<start, length>>, the places of the trained role's texts in order.
 
@@ -90,7 +90,9 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
 
     some = convs.withColumn("some", rendered(lambda t: conflicts(t["role"], t["text"]))).withColumn("any", F.exists("turns", lambda t: conflicts(t["role"], t["text"])))
     convs = some.withColumn("level", F.when(_reads_back(F.col("some"), F.col("turns")), F.col("any").cast("int")).otherwise(2))
-    convs = convs.withColumn("formatted", F.when(F.col("level") < 2, F.col("some")).otherwise(rendered(lambda t: F.lit(True))))
+    whole = rendered(lambda t: F.lit(True))
+    safe = F.when(_reads_back(whole, F.col("turns")), whole).otherwise(F.raise_error(F.concat(F.lit("no form of this conversation reads back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
+    convs = convs.withColumn("formatted", F.when(F.col("level") < 2, F.col("some")).otherwise(safe))
     read = convs.select("conv_id", "level", "formatted", F.transform(pieces(F.col("formatted")), lambda p: F.struct(F.length(p).alias("size"), parse_piece(p).alias("turn"))).alias("read"))
     # offsets: running sum of the pieces' lengths
     step = F.aggregate(
