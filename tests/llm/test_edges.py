@@ -37,6 +37,9 @@ def test_sharding(docs, none):
     assert sharding.place(none, "doc_id", ["a"], 11).count() == 0
     again = sharding.place(out, "doc_id", ["a", "b", "c"], 101)  # its own columns are replaced
     assert again.columns == out.columns
+    for key in ("slot", "shard", "SHARD"):  # a key of these names is read, then replaced
+        named = sharding.place(docs.withColumnRenamed("doc_id", key), key, ["a", "b", "c"], 101)
+        assert sorted(r["shard"] for r in named.collect()) == sorted(r["shard"] for r in out.collect())
 
 
 def test_quality(docs, none, spark):
@@ -69,6 +72,29 @@ def test_route_fills_quotas_at_least_cost():
     assert sum(v for (p, _), v in flow.items() if p == 1) == 100  # no repetition while a first use is free
 
 
+def test_flow_of_overlapping_sources():
+    made = mixing.plan([(("a", "b"), 100), (("a",), 300), (("b",), 50), (("c", None), 80)])
+    got = {s: sum(v for (_, t), v in made.flow.items() if t == s) for s in made.targets}
+    # c and the null source share 80 words, twice at most; a and b get what they aim at
+    assert all(abs(got[s] - made.targets[s]) < 1e-6 for s in "ab") and got["c"] + got[None] == 160
+    assert all(t <= 2 * n + 1e-6 for t, (_, n) in zip(made.taken(), made.patterns)) and made.sizes["a"] == 400
+
+
+def test_planner_is_quick_with_many_sources():
+    import time
+
+    began = time.time()
+    made = mixing.plan([((f"s{k:06d}",), 1 + k % 977) for k in range(30_000)])
+    assert time.time() - began < 20 and len(made.taken()) == 30_000
+
+
+def test_a_repeated_id_is_cut_by_texts(spark, monkeypatch):
+    df = spark.range(300).selectExpr("cast(null AS long) AS doc_id", "repeat('w ', cast(5 + id % 7 AS int)) || id AS text", "'a' AS source")
+    whole = sorted(r["taken"] for r in mixing.mix(df, share=0.5).collect())
+    monkeypatch.setattr(mixing, "END_ROWS", 2)
+    assert sorted(r["taken"] for r in mixing.mix(df, share=0.5).collect()) == whole and 0 < sum(x > 0 for x in whole) < 300
+
+
 def test_language(docs, none):
     model = langid.learn(docs)
     out = langid.identify(docs, model).collect()
@@ -107,6 +133,21 @@ def test_tokens(docs, none):
     assert tokens.count_tokens(none).count() == 0
 
 
+def test_tokens_of_broken_text(spark):
+    broken = spark.createDataFrame([(1, bytearray(b"one \xff\xfe two\nthr\xc3")), (2, bytearray(b"\n\n"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) AS text")
+    out = {r["doc_id"]: r for r in tokens.count_tokens(broken).collect()}
+    assert out[1]["n_sections"] == 2 and sum(out[1]["section_tokens"]) == out[1]["n_tokens"] > 4 and out[2]["n_sections"] == 2
+
+
+def test_tokens_of_fields(spark):
+    df = spark.createDataFrame([(1, "A title", "The body goes on", None), (2, None, None, None)], "doc_id long, title string, body string, note string")
+    out = {r["doc_id"]: r for r in tokens.count_field_tokens(df, ["title", "body", "note"]).collect()}
+    encoding, _ = tokens.encoder(tokens.load_vocabulary())
+    assert out[1]["n_tokens"] == len(encoding.encode_ordinary("A title\nThe body goes on\n")) == sum(out[1]["field_tokens"].values())
+    assert out[1]["field_tokens"]["note"] == 0 and out[1]["field_tokens"]["title"] == len(encoding.encode_ordinary("A title\n"))
+    assert out[2]["n_tokens"] == sum(out[2]["field_tokens"].values()) and tokens.count_field_tokens(df.limit(0), ["title"]).count() == 0
+
+
 def test_repetition(docs, none):
     out = repetition.judge(repetition.coverage(docs)).collect()
     assert len(out) == len(ROWS)
@@ -183,6 +224,10 @@ def test_chat(spark):
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [("", "\\h # <"), ("user", "### User: hi </turn>\n### x"), ("assistant", ""), ("assistant", "")]
     assert [(t["role"], t["text"]) for t in out[2]["turns"]] == [("a:b!\nc", "x\n"), ("assistant", " </turn>\n \\b")]
     assert out[3]["level"] == 0 and out[3]["formatted"] == "### assistant: plain </turn>\n" and out[None]["n_turns"] == 1
+    # whole conversations are escaped only where nothing less reads back; very long texts are whole
+    long = spark.createDataFrame([(1, 0, "user", "x </turn>\n ### y" * 40_000), (1, 1, "assistant", "z" * 2_000_000)], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(long).first()
+    assert [len(t["text"]) for t in r["turns"]] == [16 * 40_000, 2_000_000]
     loss = chat.format_conversations(df).select("conv_id", chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("l")).collect()
     assert {r["conv_id"]: r["l"] for r in loss} == {1: "", 2: " </turn>\n \\b", 3: "plain", None: ""}
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
