@@ -15,6 +15,7 @@ from gaitline.llm import decontam, jaccard, langid, mixing
 from gaitline.llm.queries import SHARDS
 from gaitline.llm.sharding import place
 from gaitline.llm.shared import read, steady_reads, through_disk
+from gaitline.sources.files import settled
 
 #: A language must be the likelier one of any two.
 MIN_SCORE = 0.5
@@ -31,31 +32,45 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each linked group, once. Documents that link with nothing stay, and so do
-    rows with a null id.
+    """Keeps the document with the smallest id of each linked group, once; where its id has several texts in the group, the one
+    whose hash is the least. Documents that link with nothing stay, and so do rows with a null id. Rows that
+    repeat both id and text are one document. An empty table stays empty.
     """
-    found = jaccard.linked(docs)
-    gone = found.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # rows that repeat both id and text are a group as well
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        real = kept.filter("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    found = settled(jaccard.linked(docs), "linked").filter("component_id is not null")
+    gone = found.filter("doc_id <> component_id").select("doc_id", "key")
+    repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if repeated:
+        first = found.filter("doc_id = component_id and n_shingles > 0").groupBy("component_id").agg(F.min("key").alias("least"))
+        more = found.filter("doc_id = component_id and n_shingles > 0").join(first, "component_id").filter("key <> least")
+        gone = gone.unionByName(more.select("doc_id", "key"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    kept = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    if repeated:
+        real = kept.filter("doc_id is not null").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
         kept = real.unionByName(kept.filter("doc_id is null"))
     return kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more lies in benchmark passages."""
+    """Drops documents of which a twentieth or more lies in benchmark passages; null and empty texts stay."""
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_text")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times."""
-    taken = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    """Each document as often as the mix takes it: 0, 1 or 2 times. Rows equal in id, text and source together as often as the mix
+    takes them together; null and empty texts, of no size, are never taken. An empty table stays empty.
+    """
+    times = F.expr("case when taken > 0 then cast(taken div size as int) else 0 end")
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), times.alias("_times"))
+    taken = taken.groupBy("_id", "_key").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    taken = settled(taken.filter("_times > 0"), "taken")
+    own = docs.withColumn("_own", mixing.row_key("text", "source"))
+    if not taken.filter("_rows > 1").isEmpty():
+        own = own.dropDuplicates(["doc_id", "_own"])
+    both = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +87,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Language ID has no SQL form; tests hold each stage against a brute-force version instead.
+#: Language ID has no SQL form; tests/llm/test_pipeline.py holds each stage against a brute-force version instead.
 ORACLE_SQL = None
 
 
