@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaitline.functions.geometry import dot
+from .ordered import folded
 
 #: Bins over hues 0..180, least saturation and pixels.
 BINS, LEAST_SAT, LEAST_PIXELS = 16, 0.15, 25
@@ -29,12 +30,20 @@ def region_mean(pixels: DataFrame, keys: Sequence[str], hue: str, sat: str, leas
 
 def embedding_ema(df: DataFrame, keys: Sequence[str], vec: str, order: str, keep: float = 0.9) -> DataFrame:
     """keys, vec: running mean of unit vectors in order, brought back to length 1 at each step; missing vectors are passed over."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(vec).isNotNull(), F.struct(F.col(order).alias("o"), F.col(vec).alias("v")))))
-
-    def step(old, row):
-        mixed = F.zip_with(old, row["v"], lambda a, b: keep * a + (1 - keep) * b)
-        norm = F.sqrt(dot(mixed, mixed))
-        return F.when(norm < 1e-9, old).otherwise(F.transform(mixed, lambda x: x / norm))
-
-    rest = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    return df.groupBy(*keys).agg(F.when(F.size(rows) > 0, F.aggregate(rest, rows[0]["v"], step)).alias("vec"))
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, F.col(order).alias("_o"), F.col(vec).alias("_v"))
+
+    def step(state: list, row: dict) -> list[tuple]:
+        if row["_v"] is not None:
+            new = np.array(row["_v"], np.float64)
+            if not state:
+                state.append(new)
+            else:
+                mixed = keep * state[0] + (1 - keep) * new
+                size = np.sqrt((mixed * mixed).sum())
+                if size >= 1e-9:
+                    state[0] = mixed / size
+        return []
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", vec array<double>"
+    return folded(rows, keys, ["_o"], list, step, lambda state, last: [(*(last[k] for k in keys), state[0].tolist() if state else None)], schema, [*keys, "vec"])

@@ -6,6 +6,8 @@ appearance of a frame, NULL where it has none.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from gaitline.functions import geometry as G
 
+from .masks import united
 from .matching import optimal
 
 MIN_FRAMES, THRESHOLD, SAMPLES, RADIUS = 8, 0.6, 5, 200
@@ -27,11 +30,17 @@ def bounds(masks: DataFrame, min_frames: int = MIN_FRAMES) -> DataFrame:
     return found.withColumn("short", F.col("real_frames") < min_frames)
 
 
-def mean_vector(vec: str, order: str) -> Column:
-    """Element-wise mean of the present vectors of a group, in order."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(vec).isNotNull(), F.struct(F.col(order).alias("o"), F.col(vec).alias("v")))))
-    total = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), rows[0]["v"], lambda s, r: F.zip_with(s, r["v"], lambda a, b: a + b))
-    return F.when(F.size(rows) > 0, F.transform(total, lambda x: x / F.size(rows)))
+def mean_vectors(rows: DataFrame, keys: Sequence[str], *names: str) -> DataFrame:
+    """keys and, for each name, the element-wise mean of the present vectors; NULL where a key has none.
+
+    Elements are averaged by place, so what is shuffled is one partial sum for each place and task.
+    """
+    each = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names))
+    flat = rows.select(*keys, F.explode(each).alias("_e")).select(*keys, F.col("_e.name").alias("_name"), F.posexplode_outer("_e.v").alias("_k", "_x"))
+    means = flat.groupBy(*keys, "_name", "_k").agg(F.avg("_x").alias("_x"))
+    held = lambda n: F.array_sort(F.collect_list(F.when((F.col("_name") == n) & F.col("_k").isNotNull(), F.struct("_k", "_x"))))
+    lists = means.groupBy(*keys).agg(*(held(n).alias(n) for n in names))
+    return lists.select(*keys, *(F.when(F.size(n) > 0, F.transform(n, lambda p: p["_x"])).alias(n) for n in names))
 
 
 def unit(vec: Column) -> Column:
@@ -44,10 +53,9 @@ def shares(hist: Column) -> Column:
     return F.when(total > 1e-9, F.transform(hist, lambda x: x / total))
 
 
-def finalize(rows: DataFrame, keys: list[str], order: str = "frame") -> DataFrame:
+def finalize(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, vec, hue: mean signature, brought back to length 1 and sum 1; NULL where no frame has the signal."""
-    means = rows.groupBy(*keys).agg(mean_vector("vec", order).alias("vec"), mean_vector("hue", order).alias("hue"))
-    return means.select(*keys, unit(F.col("vec")).alias("vec"), shares(F.col("hue")).alias("hue"))
+    return mean_vectors(rows, keys, "vec", "hue").select(*keys, unit(F.col("vec")).alias("vec"), shares(F.col("hue")).alias("hue"))
 
 
 def edge_signatures(signals: DataFrame, limits: DataFrame, side: str, samples: int = SAMPLES) -> DataFrame:
@@ -180,17 +188,16 @@ def merge(masks: DataFrame, signals: DataFrame, min_frames: int = MIN_FRAMES, th
     late = limits.filter("not short and first > 0").select("run", "id")
     orphans = late.join(edges.select("run", F.col("b").alias("id")), ["run", "id"], "left_anti")
     frames = pooled_frames(signals, limits, samples)
-    pooled = finalize(signals.join(frames, ["run", "id", "frame"]).join(groups, ["run", "id"]).select("run", F.col("canonical").alias("g"), F.struct("id", "frame").alias("frame"), "vec", "hue"), ["run", "g"]).withColumnRenamed("g", "id")
+    pooled = finalize(signals.join(frames, ["run", "id", "frame"]).join(groups, ["run", "id"]).select("run", F.col("canonical").alias("g"), "vec", "hue"), ["run", "g"]).withColumnRenamed("g", "id")
     second = group_pairs(limits, groups, pooled, orphans, starts, threshold)
     more = second.filter("accepted").select("run", F.col("group_id").alias("a"), F.col("orphan_id").alias("b"))
     return {"bounds": limits, "pairs": pairs, "group_pairs": second, "canonical": canonical_ids(limits.select("run", "id"), edges.unionByName(more))}
 
 
-def merged_boxes(masks: DataFrame, canonical: DataFrame) -> DataFrame:
-    """run, id, frame, box: the boxes of a group's members united frame by frame."""
-    rows = masks.join(canonical, ["run", "id"])
-    box = F.struct(F.min("box.x0").alias("x0"), F.min("box.y0").alias("y0"), F.max("box.x1").alias("x1"), F.max("box.y1").alias("y1"))
-    return rows.groupBy("run", F.col("canonical").alias("id"), "frame").agg(box.alias("box"))
+def merged_masks(masks: DataFrame, canonical: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """keys, id, frame, rle: the masks (rle) of a group's members united pixel by pixel, frame by frame."""
+    rows = masks.join(canonical, [*keys, "id"]).drop("id").withColumnRenamed("canonical", "id")
+    return united(rows, [*keys, "id", "frame"])
 
 
 def densify(masks: DataFrame, totals: DataFrame) -> DataFrame:

@@ -6,17 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import masks
 from .matching import assign, overlaps
 
 FRAME = ["session", "frame"]
 LEAST_IOU = 0.1
 
 
-def correspondence(oracle: DataFrame, baseline: DataFrame, least: float = LEAST_IOU) -> DataFrame:
+def same_lengths(oracle: DataFrame, baseline: DataFrame) -> DataFrame:
+    """session, n: number of frames of each session, of two tables (session, n) with a row for each id or each session.
+
+    An error, when it is computed, where the ids of a run differ in length, the runs do, or one lacks a session.
+    """
+    each = oracle.select("session", F.lit(0).alias("run"), "n").unionByName(baseline.select("session", F.lit(1).alias("run"), "n"))
+    ends = each.groupBy("session").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("run").alias("runs"))
+    message = F.concat(F.lit("runs of unequal length in session "), F.coalesce(F.col("session").cast("string"), F.lit("null")))
+    return ends.select("session", F.when((F.col("lo") == F.col("hi")) & (F.col("runs") == 2), F.col("lo")).otherwise(F.raise_error(message)).alias("n"))
+
+
+def correspondence(oracle: DataFrame, baseline: DataFrame, least: float = LEAST_IOU, lengths: DataFrame | None = None, pixels: bool = False) -> DataFrame:
     """session, frame, oracle_id, baseline_id, iou: optimal one-to-one matches by overlap, of at least `least`; every oracle row
     is returned, NULL where unmatched. The assignment is over all overlaps, then the threshold applies.
+
+    pixels: by the masks' runs (rle) instead of boxes. lengths: same_lengths() of the two runs; an error if they are not of one video, and frames beyond it go.
     """
-    found = assign(overlaps(oracle, baseline, FRAME, "oracle_id", "baseline_id"), FRAME, "oracle_id", "baseline_id", "iou").filter(F.col("iou") >= least)
+    if lengths is not None:
+        oracle = oracle.join(lengths, "session").filter("frame < n").drop("n")
+    pairs = (masks.overlaps if pixels else overlaps)(oracle, baseline, FRAME, "oracle_id", "baseline_id")
+    found = assign(pairs, FRAME, "oracle_id", "baseline_id", "iou").filter(F.col("iou") >= least)
     return oracle.select(*FRAME, F.col("id").alias("oracle_id")).join(found, [*FRAME, "oracle_id"], "left")
 
 

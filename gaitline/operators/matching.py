@@ -1,8 +1,7 @@
 """One-to-one matching: overlap joins, optimal assignment and greedy nearest neighbours, frame by frame.
 
-Pairs are made by equi joins on the frame with the overlap or distance as a residual condition. What a match is
-forced to be is settled by expressions: a pair whose sides have no other candidate. Only the rest goes to the solver,
-one group at a time.
+Pairs are made by equi joins on the frame with the overlap or distance as a residual condition. Frames are solved by the Arrow
+batch, each first cut into parts that share nobody; what a part of one or two people is forced to be needs no solver.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql.window import Window as W
 
 from gaitline.functions import geometry as G
 
+from .ordered import whole
+
 
 def optimal(cost: np.ndarray) -> list[tuple[int, int]]:
     """(row, column) pairs of least total cost, as many as the shorter side has. Of equal optima, early rows get early columns.
@@ -79,50 +80,98 @@ def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: str, b_id: s
     return left.join(right, list(keys)).filter(touch).select(*keys, a_id, b_id, G.box_iou(p, q).alias("iou")).filter("iou > 0")
 
 
-def _solve(table: pa.Table, keys: Sequence[str], a: str, b: str, score: str, how: str, limit: float) -> pa.Table:
-    x, i = np.unique(np.array(table.column(a)), return_inverse=True)
-    y, j = np.unique(np.array(table.column(b)), return_inverse=True)
-    s = np.array(table.column(score), np.float64)
-    if how == "greedy":
-        dist = np.full((len(x), len(y)), np.inf)
-        dist[i, j] = s
-        found = greedy(dist, limit)
-        matrix = dist
-    else:
-        matrix = np.zeros((len(x), len(y)))
-        matrix[i, j] = s
-        found = [(r, c) for r, c in optimal(-matrix) if matrix[r, c] > 0]
-    rows = [k for k in found]
-    first = [table.column(k)[0] for k in keys]
-    types = [table.schema.field(k).type for k in (*keys, a, b)]
-    cols = [pa.array([v.as_py()] * len(rows), t) for v, t in zip(first, types)]
-    cols += [pa.array([x[r].item() for r, _ in rows], types[-2]), pa.array([y[c].item() for _, c in rows], types[-1]), pa.array([float(matrix[r, c]) for r, c in rows])]
-    return pa.table(cols, [*keys, a, b, score])
+def _parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Component of each pair (x, y), sides numbered from 0 and apart: the least pair number reached through common sides."""
+    part = np.arange(len(x))
+    while True:
+        before = part
+        for side in (x, y):
+            least = np.full(int(side.max()) + 1, len(x))
+            np.minimum.at(least, side, part)
+            part = least[side]
+        if (part == before).all():
+            return part
+
+
+def solve(group: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray, how: str = "optimal", limit: float = np.inf) -> np.ndarray:
+    """Which pairs (group, a, b) are matched, many groups at once; a and b of any sortable type.
+
+    Groups fall into parts that share no side. A part of one pair, or with one row or column, is settled outright, one of two by two
+    by comparing its two ways; only larger parts, one after another, go to the solver.
+    """
+    if not len(score):
+        return np.zeros(0, bool)
+    sides = []
+    for v in (a, b):
+        _, n = np.unique(v, return_inverse=True)
+        sides.append(np.unique(group * (int(n.max()) + 1) + n, return_inverse=True)[1])
+    x, y = sides
+    part = _parts(x, y)
+    better = -score if how == "optimal" else score
+    # by part, then its rows and columns in order
+    order = np.lexsort((y, x, part))
+    first = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1])))
+    size = np.diff(np.append(first, len(order)))
+    fits = score > 0 if how == "optimal" else score < limit
+    out = np.zeros(len(score), bool)
+    one = order[first[size == 1]]
+    out[one] = fits[one]
+    for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
+        rows = order[at : at + n]
+        p, q = x[rows], y[rows]
+        if p[0] == p[-1] or (q == q[0]).all():
+            k = rows[int(better[rows].argmin())]
+            out[k] = fits[k]
+            continue
+        u, i = np.unique(p, return_inverse=True)
+        v, j = np.unique(q, return_inverse=True)
+        if how == "optimal" and len(u) == 2 and len(v) == 2:
+            m = np.zeros((2, 2))
+            m[i, j] = score[rows]
+            out[rows] = ((i == j) == (m[0, 0] + m[1, 1] >= m[0, 1] + m[1, 0] - 1e-11)) & fits[rows]
+            continue
+        m = np.full((len(u), len(v)), np.inf if how == "greedy" else 0.0)
+        m[i, j] = score[rows]
+        picked = np.zeros(m.shape, bool)
+        for r, c in greedy(m, limit) if how == "greedy" else optimal(-m):
+            picked[r, c] = True
+        out[rows] = picked[i, j] & fits[rows]
+    return out
+
+
+def _sorted_keys(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the values."""
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return column.to_numpy()
+    return np.unique(np.array(column.to_pylist(), object), return_inverse=True)[1]
 
 
 def assign(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str, how: str = "optimal", limit: float = np.inf) -> DataFrame:
     """keys, a, b, score: the one-to-one matches of each group. optimal: of largest total score; pairs not given score 0 and
     are never matched. greedy: score is a distance, see greedy().
 
-    A pair that is its sides' only candidate is matched without leaving the JVM.
+    Groups come sorted, many to an Arrow batch, and are solved together; a window numbers a group's pairs, so what was dealt
+    by the keys to be joined is not dealt again. A group has to fit a task: its pairs, not its rows.
     """
-    in_a, in_b = W.partitionBy(*keys, a), W.partitionBy(*keys, b)
-    alone = (F.count(F.lit(1)).over(in_a) == 1) & (F.count(F.lit(1)).over(in_b) == 1)
-    marked = pairs.select(*keys, a, b, score, alone.alias("_alone"))
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, a, b)) + f", `{score}` double"
-    sure = marked.filter("_alone").drop("_alone")
-    if how == "greedy":
-        sure = sure.filter(F.col(score) < limit)
     names = [*keys, a, b]
-    hard = marked.filter("not _alone").drop("_alone").groupBy(*keys).applyInArrow(lambda t: _solve(t, keys, a, b, score, how, limit), schema)
-    return sure.select(*names, F.col(score).cast("double").alias(score)).unionByName(hard)
+    rows = pairs.filter(F.col(score).isNotNull()).select(*names, F.col(score).cast("double").alias(score))
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{score}` double"
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        group = np.zeros(table.num_rows, np.int64)
+        group[starts] = 1
+        found = solve(np.cumsum(group), _sorted_keys(table.column(a)), _sorted_keys(table.column(b)), table.column(score).to_numpy(), how, limit)
+        return table.filter(pa.array(found))
+
+    return whole(rows, keys, [a, b], run, schema)
 
 
 def near(points: DataFrame, targets: DataFrame, keys: Sequence[str], point_id: str, target_id: str, limit: float) -> DataFrame:
     """keys, point_id, target_id, distance: each point's greedy nearest target of its frame, under the limit.
 
-    All targets of the frame count for the order of the points, near or not.
+    Points go by the distance of their nearest target; those without a target under the limit match nothing, so they
+    and what lies beyond the limit are left out before.
     """
     left = points.select(*keys, point_id, F.col("at").alias("_p"))
     right = targets.select(*keys, target_id, F.col("at").alias("_t")).filter("_t.x is not null and _t.y is not null")
@@ -130,12 +179,21 @@ def near(points: DataFrame, targets: DataFrame, keys: Sequence[str], point_id: s
     return assign(both.filter(F.col("distance") < limit), keys, point_id, target_id, "distance", "greedy", limit)
 
 
-def top_confident(df: DataFrame, keys: Sequence[str], conf: str, tie: str, most: int | None) -> DataFrame:
-    """The `most` rows of each group with the largest confidence, ties by `tie`; all rows without a limit."""
+def top_confident(df: DataFrame, keys: Sequence[str], conf: str, tie: str, most: int | None, place: str | None = None) -> DataFrame:
+    """The `most` rows of each group with the largest confidence, ties by `tie`; all rows without a limit.
+
+    place: a column for each row's place in its group from 1: by `tie`, as the rows were, in groups within the limit and without
+    one; by confidence in those that it cuts.
+    """
+    one = W.partitionBy(*keys)
+    plain = F.row_number().over(one.orderBy(tie))
     if most is None:
-        return df
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(conf), tie))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+        return df.withColumn(place, plain) if place else df
+    rank = F.row_number().over(one.orderBy(F.desc(conf), tie))
+    if place is None:
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    within = F.count(F.lit(1)).over(one) <= most
+    return df.withColumn("_rank", rank).withColumn(place, F.when(within, plain).otherwise(rank)).filter(F.col("_rank") <= most).drop("_rank")
 
 
 def outcome(cost: Column, accept: float, reject: float, flag_uncertain: bool = True) -> Column:

@@ -133,7 +133,12 @@ def proximity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("session",)) ->
 
 
 def ema(df: DataFrame, value: str, alpha: float, keys: Sequence[str] = TRACK, order: str = "frame") -> DataFrame:
-    """Exponential average at each track's end: alpha of the past, the rest of the new; folded in order."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    fold = F.aggregate(rows, F.lit(None).cast("double"), lambda s, r: F.when(s.isNull(), r["v"]).when(r["v"].isNull(), s).otherwise(alpha * s + (1 - alpha) * r["v"]))
-    return df.groupBy(*keys).agg(fold.alias("ema"))
+    """Exponential average at each track's end: alpha of the past, the rest of the new; missing values are passed over.
+
+    The fold is a sum with weights by the place from the end, so a track's rows are added up where they lie.
+    """
+    one = W.partitionBy(*keys)
+    held = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.row_number().over(one.orderBy(order)).alias("_i"), F.count(F.lit(1)).over(one).alias("_m"))
+    weight = F.pow(F.lit(float(alpha)), F.col("_m") - F.col("_i")) * F.when(F.col("_i") == 1, 1.0).otherwise(1.0 - alpha)
+    found = held.groupBy(*keys).agg(F.sum(F.col("_v") * weight).alias("ema"))
+    return df.select(*keys).distinct().join(found, list(keys), "left")

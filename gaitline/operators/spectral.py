@@ -1,43 +1,63 @@
-"""Repetitiveness: share of a signal's power in its strongest frequency of a band, by a relational Fourier transform."""
+"""Repetitiveness: share of a signal's power in its strongest frequency of a band."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordered import whole
+
 LOW_HZ, HIGH_HZ, LEAST = 0.5, 8.0, 8
 
 
-def repetitiveness(df: DataFrame, value: str, fps: float, keys: Sequence[str], order: str = "frame", low: float = LOW_HZ, high: float = HIGH_HZ) -> DataFrame:
-    """keys, n, peak_freq_hz, peak_power_ratio: one row a signal.
+def peaks(x: np.ndarray, fps: float, low: float = LOW_HZ, high: float = HIGH_HZ) -> tuple[np.ndarray, np.ndarray]:
+    """(peak frequency, its share of the power) of signals [signal, sample] of one length; NaN for none.
 
-    The signal is centred; missing samples count as the mean. Under 8 samples: NULLs. No power, or no frequency in
-    the band: NULL and 0. The band's frequencies only are transformed; the total comes from the signal's energy,
-    less the share of the constant (which centring has made nothing) and with the middle frequency counted once.
+    Each signal is centred; missing samples (NaN) count as the mean. Under 8 samples: NaN. No power, or no frequency
+    in the band: NaN and 0. The lowest of equal peaks.
     """
-    one = W.partitionBy(*keys)
-    rows = df.select(*keys, (F.row_number().over(one.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(one).alias("n"), F.coalesce(F.col(value) - F.avg(value).over(one), F.lit(0.0)).alias("x"))
-    n = F.col("n")
-    first = F.greatest(F.lit(1), F.ceil(low * n / fps)).cast("long")
-    last = F.least(F.floor(n / 2), F.floor(high * n / fps)).cast("long")
-    # the frequencies n/2 stands for itself only; frequency 0 holds nothing
-    bins = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
-    half = F.sum(F.col("x") * F.when(F.col("i") % 2 == 0, 1.0).otherwise(-1.0))
-    whole = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("energy"), half.alias("half"))
-    total = (n * F.col("energy") + F.when(n % 2 == 0, F.col("half") * F.col("half")).otherwise(0.0)) / 2.0
-    turn = 2.0 * math.pi * F.col("k") * F.col("i") / n
-    spectrum = rows.withColumn("k", F.explode(bins)).groupBy(*keys, "n", "k").agg(F.sum(F.col("x") * F.cos(turn)).alias("c"), F.sum(F.col("x") * F.sin(turn)).alias("s"))
-    power = F.col("c") * F.col("c") + F.col("s") * F.col("s")
-    peak = spectrum.groupBy(*keys).agg(F.max(F.struct(power.alias("p"), (-F.col("k")).alias("k"))).alias("best"))
-    out = whole.withColumn("total", total).join(peak, list(keys), "left")
-    flat = (F.col("total") < 1e-12) | F.col("best").isNull()
-    freq = F.when((n >= LEAST) & ~flat, -F.col("best.k") * fps / n)
-    ratio = F.when(n >= LEAST, F.when(flat, 0.0).otherwise(F.try_divide(F.col("best.p"), F.col("total"))))
-    return out.select(*keys, "n", freq.alias("peak_freq_hz"), ratio.alias("peak_power_ratio"))
+    m, n = x.shape
+    if n < LEAST:
+        return np.full(m, np.nan), np.full(m, np.nan)
+    held = ~np.isnan(x)
+    mean = np.divide(np.where(held, x, 0.0).sum(1), held.sum(1), out=np.zeros(m), where=held.any(1))
+    power = np.abs(np.fft.rfft(np.where(held, x - mean[:, None], 0.0), axis=1)) ** 2
+    freq = np.arange(power.shape[1]) * fps / n
+    band = np.flatnonzero((freq >= low) & (freq <= high) & (freq > 0))
+    total = power[:, 1:].sum(1)
+    if not len(band):
+        return np.full(m, np.nan), np.zeros(m)
+    inside = power[:, band]
+    # of equal peaks the lowest, whatever the rounding
+    best = (inside >= inside.max(1)[:, None] * (1 - 1e-12)).argmax(1)
+    flat = total < 1e-12
+    share = np.divide(inside[np.arange(m), best], total, out=np.zeros(m), where=~flat)
+    return np.where(flat, np.nan, freq[band][best]), share
+
+
+def repetitiveness(df: DataFrame, value: str, fps: float, keys: Sequence[str], order: str = "frame", low: float = LOW_HZ, high: float = HIGH_HZ) -> DataFrame:
+    """keys, n, peak_freq_hz, peak_power_ratio: one row a signal, by peaks(); NULL for none. A signal has to fit a task."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, peak_freq_hz double, peak_power_ratio double"
+    rows = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_x"))
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = table.column("_x").to_numpy().astype(np.float64)
+        size = np.diff(np.append(starts, len(x)))
+        freq, share = np.full(len(size), np.nan), np.full(len(size), np.nan)
+        for n in np.unique(size).tolist():  # signals of one length are transformed together
+            some = np.flatnonzero(size == n)
+            freq[some], share[some] = peaks(x[starts[some][:, None] + np.arange(n)], fps, low, high)
+        first = table.select(list(keys)).take(pa.array(starts))
+        nulls = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
+        return first.append_column("n", pa.array(size.astype(np.int64))).append_column("peak_freq_hz", nulls(freq)).append_column("peak_power_ratio", nulls(share))
+
+    return whole(rows, keys, ["_o"], run, schema)
 
 
 def sliding_repetitiveness(df: DataFrame, value: str, fps: float, rows: int, step: int, keys: Sequence[str], order: str = "frame") -> DataFrame:

@@ -109,7 +109,7 @@ def sc32_pair_scores(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(label AS BIGINT) AS label, k, round(x / norm, 6) AS x FROM m JOIN n USING (label)""")
 def ag13_mean_signature(spark: SparkSession, d: str) -> DataFrame:
     v = A.appearance(spark, d).withColumn("hue", F.lit(None).cast("array<double>"))
-    return fragments.finalize(v, ["label"], "vec_id").select("label", F.posexplode("vec").alias("k", "x")).select("label", (F.col("k") + 1).cast("long").alias("k"), r6("x").alias("x"))
+    return fragments.finalize(v, ["label"]).select("label", F.posexplode("vec").alias("k", "x")).select("label", (F.col("k") + 1).cast("long").alias("k"), r6("x").alias("x"))
 
 
 # --- faces and hands -------------------------------------------------------------------------------------------
@@ -221,8 +221,8 @@ def wn20_edge_signatures(spark: SparkSession, d: str) -> DataFrame:
     limits = fragments.bounds(masks)
     usable = signals.filter("usable").join(limits.filter("not short").select("run", "id"), ["run", "id"])
     last = usable.withColumn("k", F.row_number().over(W.partitionBy("run", "id").orderBy(F.desc("frame")))).filter("k <= 5")
-    mean = last.groupBy("run", "id").agg(fragments.mean_vector("vec", "frame").alias("v"))
-    return mean.select("run", "id", r6(G.dot(F.col("v"), F.col("v"))).alias("power"))
+    mean = fragments.mean_vectors(last, ["run", "id"], "vec")
+    return mean.select("run", "id", r6(G.dot(F.col("vec"), F.col("vec"))).alias("power"))
 
 
 @query(f'WITH {_FRAGS}, b AS (SELECT run, id, min(frame) AS f, max(frame) AS l FROM fr GROUP BY run, id), t AS (SELECT run, id, f, l, unnest(CASE WHEN l - f + 1 <= 5 THEN generate_series(f, l) ELSE [CAST(round_even(f + i * (l - f) / 4e0, 0) AS BIGINT) FOR i IN [0, 1, 2, 3, 4]] END) AS target FROM b) SELECT DISTINCT run, id, target FROM t')
@@ -247,13 +247,6 @@ def str15_fragment_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).orderBy(F.desc("similarity"), "run", "from_id", "into_id")
 
 
-@query(f"WITH {_FRAGS} SELECT run, id // 300 AS id, frame, min(id % 50) AS x0, min(frame % 40) AS y0, max(id % 50 + 20) AS x1, max(frame % 40 + 30) AS y1 FROM fr GROUP BY ALL")
-def snk04_merged_masks(spark: SparkSession, d: str) -> DataFrame:
-    masks, _ = _fragment_tables(spark, d)
-    canonical = masks.select("run", "id").distinct().withColumn("canonical", F.floor(F.col("id") / 300).cast("long"))
-    return fragments.merged_boxes(masks, canonical).select("run", "id", "frame", *(F.col(f"box.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")))
-
-
 @query(f"WITH {_FRAGS}, tot AS (SELECT run, 60 AS n FROM fr GROUP BY run), s AS (SELECT DISTINCT fr.run, id, unnest(generate_series(0, n - 1)) AS frame FROM fr JOIN tot USING (run)) SELECT run, id, count(*) AS frames, count(x.frame) AS filled FROM s LEFT JOIN fr x USING (run, id, frame) GROUP BY run, id")
 def snk03_dense_export(spark: SparkSession, d: str) -> DataFrame:
     """All frames of the run of every id, empty ones included."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -52,15 +52,27 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_runs(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(oracle, baseline): session, frame, id, box (half open); the baseline breaks and swaps identities by chunk."""
-    kp = keypoints(spark, sf_dir)
-    held = F.filter("kp", lambda p: p["x"].isNotNull())
-    xs, ys = F.transform(held, lambda p: p["x"].cast("int")), F.transform(held, lambda p: p["y"].cast("int"))
-    box = F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
-    rows = kp.select("session", "frame", (F.col("track_id") % 20).alias("id"), box.alias("box"))
-    c, o = F.floor(F.col("frame") / chunk).cast("long"), F.col("id")
+    """(oracle, baseline): session, frame, id, box (half open). Two people share a part of the image and may overlap.
+
+    The baseline breaks and swaps identities by chunk, its boxes are moved and shrunk, some lie in a corner far from the
+    person, and some are missing. The last frame of each session is in both, so that the runs are of equal length.
+    """
+    sig = signal(spark, sf_dir).select("session", "frame", "track_id", "event_id")
+    e, o = F.col("event_id"), F.col("track_id") % 20
+    pair = F.floor(o / 2)
+    left, top = (pair % 5) * 128, F.floor(pair / 5) * 240
+    x, y, w, h = left + 12 + (e * 7) % 40, top + 20 + (e * 11) % 90, 30 + (e * 13) % 31, 60 + (e * 17) % 51
+    far = e % 13 == 5
+
+    def box(x: Column, y: Column, w: Column, h: Column) -> Column:
+        return F.struct(*(c.cast("int").alias(n) for n, c in (("x0", x), ("y0", y), ("x1", x + w), ("y1", y + h))))
+
+    there = box(x, y, w, h)
+    moved = box(x + (e * 5) % 25 - 12, y + (e * 3) % 41 - 20, w - e % 7, h - e % 11)
+    seen = F.when(far, box(left, top, F.lit(30), F.lit(50))).otherwise(moved)
+    c = F.floor(F.col("frame") / chunk).cast("long")
     worn = F.when((c % 4 == 3) & (o % 2 == 1), ((o + 1) % 20) * 10 + 7).when((c % 4 == 2) & (o % 2 == 0), o * 10 + 7).otherwise(o * 10 + c % 3)
-    return rows, rows.select("session", "frame", worn.alias("id"), "box")
+    return sig.select("session", "frame", o.alias("id"), there.alias("box")), sig.filter(e % 17 != 3).select("session", "frame", worn.alias("id"), seen.alias("box"))
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +81,24 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("run", F.lit("oracle")).unionByName(b.withColumn("run", F.lit("baseline"))).select("run", "session", "id", "frame", "box")
 
 
+def rle_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, session, id, frame, h, w, box, rle: masks of both runs on a grid of an eighth; some have a hole, some two parts."""
+    m = masks(spark, sf_dir)
+    box = F.struct(*(F.floor(F.col(f"box.{c}") / 8).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    m = m.withColumn("box", box).withColumn("kind", (F.col("frame") + F.col("id")) % 3)
+    x0, x1, y0, y1 = (F.col(f"box.{c}") for c in ("x0", "x1", "y0", "y1"))
+    w = WIDTH // 8
+
+    def row(y: Column) -> Column:
+        at = lambda x, n: F.struct((y * w + x).cast("long").alias("start"), n.cast("int").alias("len"))
+        ring = (F.col("kind") == 1) & (x1 - x0 > 2) & (y > y0) & (y < y1 - 1)
+        gap = (F.col("kind") == 2) & ((y == y0 + 3) | (y == y0 + 4))
+        return F.when(gap, F.array().cast("array<struct<start:bigint,len:int>>")).when(ring, F.array(at(x0, F.lit(1)), at(x1 - 1, F.lit(1)))).otherwise(F.array(at(x0, x1 - x0)))
+
+    rle = F.when((x1 > x0) & (y1 > y0), F.flatten(F.transform(F.sequence(y0, y1 - 1), row)))
+    return m.select("run", "session", "id", "frame", F.lit(HEIGHT // 8).alias("h"), F.lit(w).alias("w"), "box", rle.alias("rle")).filter("rle is not null")
+
+
 def appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, vec: unit vectors in order of time; the label is the true identity."""
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
