@@ -310,5 +310,20 @@ def padded_crop(box: Column, width: int, height: int, padding: float = 0.15) ->
     )
 
 
+#: Least crop of a person in pixels, least share of it that a mask must fill to be used.
+LEAST_CROP, LEAST_FILL = (24, 48), 0.15
+
+
+def person_crop(box: Column, width: int, height: int, fill: Column) -> Column:
+    """struct(x1, y1, x2, y2, masked): whole-pixel crop, rounded half to even and clamped to the frame; NULL under LEAST_CROP.
+
+    fill: share of the crop that the person's mask covers; masked tells whether what lies outside it is to be blacked out.
+    """
+    at = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), F.rint(box[c]).cast("int")))
+    x1, x2, y1, y2 = at("x1", width), at("x2", width), at("y1", height), at("y2", height)
+    big = (x2 - x1 >= LEAST_CROP[0]) & (y2 - y1 >= LEAST_CROP[1])
+    return F.when(big, F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.coalesce(fill >= LEAST_FILL, F.lit(False)).alias("masked")))
+
+
 def track_color(track_id: Column, palette: int = 8) -> Column:
     return F.pmod(track_id, F.lit(palette))

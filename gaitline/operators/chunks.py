@@ -28,13 +28,16 @@ def ranges(totals: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 
 def memberships(df: DataFrame, totals: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """df with chunk_index and local_frame: a row for each chunk that holds the frame, ceil(chunk / stride) at most."""
+    """df with chunk_index and local_frame: a row for each chunk that holds the frame, ceil(chunk / stride) at most.
+
+    A chunk has to bring more than the overlap, so a session no longer than that has none.
+    """
     check_chunking(chunk, overlap)
     stride = chunk - overlap
     f = F.col("frame")
     first = F.greatest(F.lit(0), F.ceil((f - chunk + 1) / stride)).cast("long")
     last = F.least(F.floor(f / stride).cast("long"), F.greatest(F.lit(0), F.ceil((F.col("n") - chunk) / stride)).cast("long"))
-    spread = df.join(totals, "session").withColumn("chunk_index", F.explode(F.when(last >= first, F.sequence(first, last)))).drop("n")
+    spread = df.join(totals.filter(F.col("n") > overlap), "session").withColumn("chunk_index", F.explode(F.when(last >= first, F.sequence(first, last)))).drop("n")
     return spread.withColumn("local_frame", f - F.col("chunk_index") * stride)
 
 
@@ -43,6 +46,16 @@ def fresh(df: DataFrame, overlap: int) -> DataFrame:
     return df.filter((F.col("chunk_index") == 0) | (F.col("local_frame") >= overlap))
 
 
+def redetections(df: DataFrame, every: int) -> DataFrame:
+    """df (memberships()' rows) with redetect_window, the part of `every` frames of a chunk, and redetect, whether people are looked for
+    anew there: at the first frame of each part. ValueError for an `every` under 1.
+    """
+    if every < 1:
+        raise ValueError("every must be at least 1")
+    part = F.floor(F.col("local_frame") / every).cast("long")
+    return df.withColumn("redetect_window", part).withColumn("redetect", F.col("local_frame") % every == 0)
+
+
 def velocities(df: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
     """keys, vx, vy: medians of the centroid's steps over the frames between; nothing for a single observation."""
     w = W.partitionBy(*keys).orderBy("frame")

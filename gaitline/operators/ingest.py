@@ -26,6 +26,34 @@ def only_for(value: Column, track_id: Column, target: int | None) -> Column:
     return value if target is None else F.when(track_id == target, value)
 
 
+def prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
+    """df with `prefix` before all column names but those to keep."""
+    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in keep})
+
+
+MISSING = ("raise", "null")
+
+
+def total_frames(requested: DataFrame, frames: DataFrame, missing: str = "raise") -> DataFrame:
+    """session, n of the sessions requested, by the last frame of each in frames(session, frame).
+
+    A session without frames is an error when it is computed, or has NULL. ValueError for another rule.
+    """
+    if missing not in MISSING:
+        raise ValueError(f"missing must be one of {MISSING}")
+    known = frames.groupBy("session").agg((F.max("frame") + 1).alias("n"))
+    found = requested.select("session").distinct().join(known, "session", "left")
+    if missing == "null":
+        return found
+    message = F.concat(F.lit("no frames of session "), F.coalesce(F.col("session").cast("string"), F.lit("null")))
+    return found.select("session", F.when(F.col("n").isNotNull(), F.col("n")).otherwise(F.raise_error(message)).alias("n"))
+
+
+def at_frames(df: DataFrame, requested: DataFrame, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+    """Rows of df at the requested (keys, frame); one row of NULLs where there is none, as past the end."""
+    return requested.select(*keys, "frame").join(df, [*keys, "frame"], "left")
+
+
 @dataclass(frozen=True)
 class SessionOptions:
     """Options of a run, checked when made: ValueError says what doesn't fit."""

@@ -132,6 +132,12 @@ def proximity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("session",)) ->
     return left.join(right, [*keys, "frame"]).select(*keys, "frame", G.distance(F.col("_a"), F.col("_b")).alias("proximity"))
 
 
+def strictly_later(time: Column, window: WindowSpec) -> Column:
+    """max(time, last one + 1) along the window: what is above its own number by the most so far, and the number."""
+    n = F.row_number().over(window).cast("long")
+    return F.max(time - n).over(window.rowsBetween(W.unboundedPreceding, 0)) + n
+
+
 def ema(df: DataFrame, value: str, alpha: float, keys: Sequence[str] = TRACK, order: str = "frame") -> DataFrame:
     """Exponential average at each track's end: alpha of the past, the rest of the new; missing values are passed over.
 

@@ -24,7 +24,7 @@ _BLOCKS = 16
 _DOT = "list_sum(list_transform(generate_series(1, 64), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
 
 
-@query(f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(greatest(0e0, least(1e0, ({_DOT} + 1) / 2)), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 5 = 0")
+@query(f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(greatest(0e0, least(1e0, ({_DOT} + 1) / 2)), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def sc30_embedding_similarity(spark: SparkSession, d: str) -> DataFrame:
     """All pairs within a label; each left vector meets the right ones block by block, so that no label is one task's."""
     v = A.appearance(spark, d)
@@ -64,45 +64,49 @@ _HUES = [f"CASE WHEN (event_id + {k}) % 11 <> 0 THEN CAST((event_id * {k + 2}) %
 _COLD = [f"CASE WHEN a.h[{k + 1}] IS NOT NULL AND b.h[{k + 1}] IS NOT NULL THEN " + (f"least(abs(a.h[{k + 1}] - b.h[{k + 1}]), 1 - abs(a.h[{k + 1}] - b.h[{k + 1}]))" if k % 2 == 0 else f"abs(a.h[{k + 1}] - b.h[{k + 1}])") + " END" for k in range(6)]
 _COLN = " + ".join(f"({x} IS NOT NULL)::INT" for x in _COLD)
 _COLS = " + ".join(f"coalesce({x}, 0)" for x in _COLD)
-_PAIRS = f"{Q.KPW}, f AS (SELECT session, track_id, frame, t_s, [{', '.join(_HUES)}] AS h, {Q.HIP[0]} AS hx, {Q.HIP[1]} AS hy, {Q.TORSO} AS torso FROM kpw WHERE frame IN (3, 9)), pr AS (SELECT a.session, a.track_id AS a_id, b.track_id AS b_id, CASE WHEN {_COLN} >= 2 THEN greatest(0e0, least(1e0, 1 - ({_COLS}) / ({_COLN}))) END AS color, CASE WHEN (a.torso + b.torso) / 2 >= 1e-6 AND {Q.dist(('a.hx', 'a.hy'), ('b.hx', 'b.hy'))} IS NOT NULL THEN greatest(0e0, 1 - {Q.dist(('a.hx', 'a.hy'), ('b.hx', 'b.hy'))} / ((a.torso + b.torso) / 2) / 4) * greatest(0e0, 1 - (b.t_s - a.t_s) / 20) END AS position FROM f a JOIN f b ON a.session = b.session WHERE a.frame = 3 AND b.frame = 9)"
+_PAIRS = f"{Q.KPW}, f AS (SELECT session, track_id, frame, t_s, [{', '.join(_HUES)}] AS h, {Q.HIP[0]} AS hx, {Q.HIP[1]} AS hy, {Q.TORSO} AS torso, event_id FROM kpw), pr AS (SELECT a.session, a.frame, a.track_id AS a_id, b.track_id AS b_id, CASE WHEN (a.event_id + b.event_id) % 5 <> 0 THEN CAST((a.event_id * 31 + b.event_id * 17) % 101 AS DOUBLE) / 100 END AS embedding, CASE WHEN (a.event_id + b.event_id) % 3 <> 0 THEN CAST((a.event_id * 13 + b.event_id * 7) % 97 AS DOUBLE) / 100 END AS shape, CASE WHEN {_COLN} >= 2 THEN greatest(0e0, least(1e0, 1 - ({_COLS}) / ({_COLN}))) END AS color, CASE WHEN (a.torso + b.torso) / 2 >= 1e-6 AND {Q.dist(('a.hx', 'a.hy'), ('b.hx', 'b.hy'))} IS NOT NULL THEN greatest(0e0, 1 - {Q.dist(('a.hx', 'a.hy'), ('b.hx', 'b.hy'))} / ((a.torso + b.torso) / 2) / 4) * greatest(0e0, 1 - (b.t_s - a.t_s) / 20) END AS position FROM f a JOIN f b ON a.session = b.session AND b.frame = a.frame + 6)"
 
 
 def _frame_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every sighting of a session against all those six frames later, with the likenesses of the two."""
     e = F.col("event_id")
     hues = F.array(*(F.when((e + k) % 11 != 0, ((e * (k + 2)) % 97).cast("double") / 97) for k in range(6)))
-    f = A.keypoints(spark, d).filter("frame in (3, 9)").select("session", "track_id", "frame", "t_s", hues.alias("h"), G.hip_center(F.col("kp")).alias("hip"), G.torso_length(F.col("kp")).alias("torso"))
-    a, b = (f.filter(F.col("frame") == n).select("session", *(F.col(c).alias(f"{c}_{x}") for c in ("track_id", "t_s", "h", "hip", "torso"))) for x, n in (("a", 3), ("b", 9)))
-    both = a.join(b, "session")
+    f = A.keypoints(spark, d).select("session", "track_id", "frame", "t_s", "event_id", hues.alias("h"), G.hip_center(F.col("kp")).alias("hip"), G.torso_length(F.col("kp")).alias("torso"))
+    a, b = (f.select("session", (F.col("frame") - back).alias("frame"), *(F.col(c).alias(f"{c}_{x}") for c in ("track_id", "t_s", "event_id", "h", "hip", "torso"))) for x, back in (("a", 0), ("b", 6)))
+    both = a.join(b, ["session", "frame"])
+    # likenesses of appearance and shape that a model would give, some missing
+    p, q = F.col("event_id_a"), F.col("event_id_b")
+    embedding = F.when((p + q) % 5 != 0, ((p * 31 + q * 17) % 101).cast("double") / 100)
+    shape = F.when((p + q) % 3 != 0, ((p * 13 + q * 7) % 97).cast("double") / 100)
     position = G.position_similarity(F.col("hip_a"), F.col("hip_b"), (F.col("torso_a") + F.col("torso_b")) / 2, F.col("t_s_b") - F.col("t_s_a"))
-    return both.select("session", F.col("track_id_a").alias("a_id"), F.col("track_id_b").alias("b_id"), G.color_similarity(F.col("h_a"), F.col("h_b")).alias("color"), position.alias("position"))
+    return both.select("session", "frame", F.col("track_id_a").alias("a_id"), F.col("track_id_b").alias("b_id"), embedding.alias("embedding"), shape.alias("shape"), G.color_similarity(F.col("h_a"), F.col("h_b")).alias("color"), position.alias("position"))
 
 
-@query(f"WITH {_PAIRS} SELECT session, a_id, b_id, round(color, 6) AS color, round(position, 6) AS position FROM pr")
+@query(f"WITH {_PAIRS} SELECT session, frame, a_id, b_id, round(color, 9) AS color, round(position, 9) AS position FROM pr")
 def sc26_color_and_position(spark: SparkSession, d: str) -> DataFrame:
-    return _frame_pairs(spark, d).withColumn("color", r6("color")).withColumn("position", r6("position"))
+    return _frame_pairs(spark, d).drop("embedding", "shape").withColumn("color", F.round("color", 9)).withColumn("position", F.round("position", 9))
 
 
-_BEST = "greatest(coalesce(5e-1 * color, 0e0), coalesce(5e-1 * position, 0e0), 0e0)"
+_BEST = "greatest(coalesce(5e-1 * color, 0e0), coalesce(5e-1 * position, 0e0), coalesce(7e-1 * embedding, 0e0))"
 
 
 @query(f"""WITH {_PAIRS}, md AS (SELECT a.session, a.track_id AS a_id, b.track_id AS b_id, CASE WHEN {_CNT} >= 3 THEN sqrt(({_SQ}) / ({_CNT})) END AS dist FROM med a JOIN med b ON a.session = b.session)
-SELECT session, a_id, b_id, round(dist * (1 - {_BEST}), 6) AS cost, CASE WHEN dist IS NULL OR {_BEST} = 0 THEN NULL WHEN {_BEST} = coalesce(5e-1 * color, 0e0) THEN 'color' ELSE 'position' END AS used,
+SELECT session, frame, a_id, b_id, round(dist * (1 - {_BEST}), 6) AS cost, CASE WHEN dist IS NULL OR {_BEST} = 0 THEN NULL WHEN {_BEST} = coalesce(7e-1 * embedding, 0e0) THEN 'embedding' WHEN {_BEST} = coalesce(5e-1 * color, 0e0) THEN 'color' ELSE 'position' END AS used,
 CASE WHEN dist IS NULL OR dist * (1 - {_BEST}) > 5e-1 THEN 'new' WHEN dist * (1 - {_BEST}) <= 2e-1 THEN 'matched' ELSE 'uncertain' END AS status FROM pr JOIN md USING (session, a_id, b_id)""".replace(f"WITH {Q.KPW}, f AS", f"WITH {_MED}, f AS"))
 def sc31_pair_cost(spark: SparkSession, d: str) -> DataFrame:
     """Proportions lowered by the strongest other signal, and what the policy makes of it."""
     m = _medians(spark, d).select("session", "track_id", F.array(*(F.col(f"m{k}") for k in range(12))).alias("s"))
     a, b = (m.select("session", F.col("track_id").alias(f"{x}_id"), F.col("s").alias(f"s{x}")) for x in "ab")
     both = _frame_pairs(spark, d).join(a, ["session", "a_id"]).join(b, ["session", "b_id"])
-    cost, used = G.pose_pair_cost(G.signature_distance(F.col("sa"), F.col("sb")), F.col("color"), F.col("position"), F.lit(None).cast("double"))
-    return both.select("session", "a_id", "b_id", r6(cost).alias("cost"), used.alias("used"), matching.outcome(cost, 0.2, 0.5).alias("status"))
+    cost, used = G.pose_pair_cost(G.signature_distance(F.col("sa"), F.col("sb")), F.col("color"), F.col("position"), F.col("embedding"))
+    return both.select("session", "frame", "a_id", "b_id", r6(cost).alias("cost"), used.alias("used"), matching.outcome(cost, 0.2, 0.5).alias("status"))
 
 
-@query(f"WITH {_PAIRS} SELECT session, a_id, b_id, round(5e-1 * coalesce(position, 0) + 3e-1 * coalesce(color, 0), 6) AS score, round(coalesce(greatest(color, position), 0), 6) AS strongest FROM pr")
+@query(f"WITH {_PAIRS} SELECT session, frame, a_id, b_id, round(5e-1 * coalesce(position, 0) + 3e-1 * coalesce(color, 0) + 2e-1 * coalesce(shape, 0) + 7e-1 * coalesce(embedding, 0), 6) AS score, round(coalesce(greatest(color, position), 0), 6) AS strongest FROM pr")
 def sc32_pair_scores(spark: SparkSession, d: str) -> DataFrame:
     """Weighted sum of the signals, and the stronger of two."""
-    none = F.lit(None).cast("double")
     p = _frame_pairs(spark, d)
-    return p.select("session", "a_id", "b_id", r6(G.seg_pair_score(F.col("position"), F.col("color"), none, none)).alias("score"), r6(G.fragment_similarity(F.col("color"), F.col("position"))).alias("strongest"))
+    return p.select("session", "frame", "a_id", "b_id", r6(G.seg_pair_score(F.col("position"), F.col("color"), F.col("shape"), F.col("embedding"))).alias("score"), r6(G.fragment_similarity(F.col("color"), F.col("position"))).alias("strongest"))
 
 
 @query("""WITH v AS (SELECT label, vec_id, unnest(generate_series(1, 64)) AS k, embedding FROM embeddings), m AS (SELECT label, k, avg(CAST(embedding[k] AS DOUBLE)) AS x FROM v GROUP BY label, k), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label)
@@ -151,15 +155,15 @@ def sc10_euler_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rot.select("session", "track_id", "frame", *(F.round(c, 6).alias(n) for n, c in H.euler(F.col("rot")).items())).select("session", "track_id", "frame", *((F.col(n) + 0.0).alias(n) for n in ("yaw", "pitch", "roll")))
 
 
-@query(f"""WITH {Q.KPW}, f AS (SELECT session, frame, track_id, {_HEADX} AS hx, CAST((event_id * 17) % 121 - 60 AS DOUBLE) AS yaw FROM kpw WHERE {_HEADX} IS NOT NULL AND track_id % 20 < 2), c AS (SELECT *, count(*) OVER (PARTITION BY session, frame) AS n FROM f)
-SELECT a.session, a.frame, a.track_id, b.track_id AS attention_target, round(greatest(0e0, 1 - abs(a.yaw - (b.hx - a.hx) / {A.WIDTH / 2}e0 * 30) / 20), 6) AS attention_score FROM c a JOIN c b ON a.session = b.session AND a.frame = b.frame AND a.track_id <> b.track_id WHERE a.n = 2""")
+@query(f"""WITH {Q.KPW}, f AS (SELECT session, frame, track_id, {_HEADX} AS hx, CAST((event_id * 17) % 121 - 60 AS DOUBLE) AS yaw FROM kpw WHERE {_HEADX} IS NOT NULL), c AS (SELECT *, track_id // 2 AS pair, count(*) OVER (PARTITION BY track_id // 2, frame) AS n FROM f)
+SELECT a.session, a.pair, a.frame, a.track_id, b.track_id AS attention_target, round(greatest(0e0, 1 - abs(a.yaw - (b.hx - a.hx) / {A.WIDTH / 2}e0 * 30) / 20), 9) AS attention_score FROM c a JOIN c b ON a.pair = b.pair AND a.frame = b.frame AND a.track_id <> b.track_id WHERE a.n = 2""")
 def sc12_joint_attention(spark: SparkSession, d: str) -> DataFrame:
-    """Only in frames with exactly two people."""
-    faces = A.faces(spark, d).filter("face_idx % 20 < 2").join(A.keypoints(spark, d).select("session", "frame", F.col("track_id").alias("face_idx"), G.head_center(F.col("kp")).alias("head")), ["session", "frame", "face_idx"])
-    two = faces.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("session", "frame"))).filter("n = 2")
+    """Only in frames with exactly two people; tracks are people of one scene two by two."""
+    faces = A.faces(spark, d).withColumn("pair", F.floor(F.col("face_idx") / 2)).join(A.keypoints(spark, d).select("session", "frame", F.col("track_id").alias("face_idx"), G.head_center(F.col("kp")).alias("head")), ["session", "frame", "face_idx"])
+    two = faces.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("pair", "frame"))).filter("n = 2")
     a, b = two.alias("a"), two.alias("b")
-    both = a.join(b, (F.col("a.session") == F.col("b.session")) & (F.col("a.frame") == F.col("b.frame")) & (F.col("a.face_idx") != F.col("b.face_idx")))
-    return both.select("a.session", "a.frame", F.col("a.face_idx").alias("track_id"), F.col("b.face_idx").alias("attention_target"), r6(H.joint_attention(F.col("a.head.x"), F.col("a.yaw"), F.col("b.head.x"), float(A.WIDTH))).alias("attention_score"))
+    both = a.join(b, (F.col("a.pair") == F.col("b.pair")) & (F.col("a.frame") == F.col("b.frame")) & (F.col("a.face_idx") != F.col("b.face_idx")))
+    return both.select("a.session", "a.pair", "a.frame", F.col("a.face_idx").alias("track_id"), F.col("b.face_idx").alias("attention_target"), F.round(H.joint_attention(F.col("a.head.x"), F.col("a.yaw"), F.col("b.head.x"), float(A.WIDTH)), 9).alias("attention_score"))
 
 
 @query()
@@ -247,7 +251,7 @@ def str15_fragment_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).orderBy(F.desc("similarity"), "run", "from_id", "into_id")
 
 
-@query(f"WITH {_FRAGS}, tot AS (SELECT run, 60 AS n FROM fr GROUP BY run), s AS (SELECT DISTINCT fr.run, id, unnest(generate_series(0, n - 1)) AS frame FROM fr JOIN tot USING (run)) SELECT run, id, count(*) AS frames, count(x.frame) AS filled FROM s LEFT JOIN fr x USING (run, id, frame) GROUP BY run, id")
+@query(f"WITH {_FRAGS}, tot AS (SELECT run, max(frame) + 1 AS n FROM fr GROUP BY run), s AS (SELECT DISTINCT fr.run, id, unnest(generate_series(0, n - 1)) AS frame FROM fr JOIN tot USING (run)) SELECT run, id, count(*) AS frames, count(x.frame) AS filled FROM s LEFT JOIN fr x USING (run, id, frame) GROUP BY run, id")
 def snk03_dense_export(spark: SparkSession, d: str) -> DataFrame:
     """All frames of the run of every id, empty ones included."""
     masks, _ = _fragment_tables(spark, d)
@@ -278,7 +282,7 @@ def str18_first_sighting(spark: SparkSession, d: str) -> DataFrame:
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {Q.SIG} SELECT session, track_id, frame, round(v, 6) AS v FROM sig WHERE session < 3")
+@query(f"WITH {Q.SIG} SELECT session, track_id, frame, round(v, 6) AS v FROM sig")
 def snk01_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows to CSV with a header, and back by a declared schema."""
     rows = A.signal(spark, d).select("session", "track_id", "frame", r6("v").alias("v"))

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from gaitline.functions import geometry as G
 from gaitline.operators import chunks, identity, matching
 from gaitline.sources import adapters as A
-from gaitline.sources import files
+from gaitline.sources import files, registry
 
 from . import sqltext as Q
 from .catalog import query
 from .pose import r6
 
 CHUNK = A.CHUNK
+for _name, _source in (("pose", A.keypoints), ("segmentation", A.detections), ("masks", A.rle_masks)):
+    registry.register(_name, _source, replace=True)
 
 # --- detections ---------------------------------------------------------------------------------------------
 
@@ -29,9 +31,10 @@ def pf01_segment_rows(spark: SparkSession, d: str) -> DataFrame:
     return A.detections(spark, d).select("frame", "det", "bbox.*", r6(c["x"]).alias("centroid_x"), r6(c["y"]).alias("centroid_y"), G.polygon_area(F.col("poly")).alias("mask_area_px"), r6("conf").alias("box_conf"))
 
 
-@query(f"WITH {Q.DET}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det) AS rk FROM det) SELECT frame, det, round(conf, 6) AS conf FROM r WHERE rk <= 2")
+@query(f"WITH {Q.DET}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det) AS rk, row_number() OVER (PARTITION BY frame ORDER BY det) AS k, count(*) OVER (PARTITION BY frame) AS n FROM det) SELECT frame, det, round(conf, 6) AS conf, CASE WHEN n <= 2 THEN k ELSE rk END AS place FROM r WHERE rk <= 2")
 def tk01_cap_by_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return matching.top_confident(A.detections(spark, d), ["frame"], "conf", "det", 2).select("frame", "det", r6("conf").alias("conf"))
+    """At most two in a frame; as they were in frames within the limit, by confidence in those over it."""
+    return matching.top_confident(A.detections(spark, d), ["frame"], "conf", "det", 2, "place").select("frame", "det", r6("conf").alias("conf"), F.col("place").cast("long").alias("place"))
 
 
 _INT = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
@@ -94,7 +97,8 @@ def sc17_padded_crop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corr(spark: SparkSession, d: str) -> DataFrame:
-    return identity.correspondence(*A.two_runs(spark, d))
+    n = _totals(spark, d)
+    return identity.correspondence(*A.two_runs(spark, d), lengths=identity.same_lengths(n, n))
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:
@@ -106,9 +110,9 @@ def jn08_correspondence(spark: SparkSession, d: str) -> DataFrame:
     return _corr(spark, d).select("session", "frame", "oracle_id", "baseline_id")
 
 
-def _switches(entity: str, other: str) -> str:
+def _switches(entity: str, other: str, corr: str = "corr") -> str:
     return f"""SELECT session, {entity} AS entity_id, f AS from_id, {other} AS to_id, lf AS last_seen_frame, frame AS new_seen_frame, lf // {CHUNK} <> frame // {CHUNK} AS cross_chunk FROM (
-  SELECT session, frame, {entity}, {other}, lag({other}) OVER w AS f, lag(frame) OVER w AS lf, row_number() OVER (PARTITION BY session, {entity}, {other} ORDER BY frame) AS nth FROM corr WHERE baseline_id IS NOT NULL WINDOW w AS (PARTITION BY session, {entity} ORDER BY frame, {other})) WHERE nth = 1 AND f <> {other}"""
+  SELECT session, frame, {entity}, {other}, lag({other}) OVER w AS f, lag(frame) OVER w AS lf, row_number() OVER (PARTITION BY session, {entity}, {other} ORDER BY frame) AS nth FROM {corr} WHERE baseline_id IS NOT NULL WINDOW w AS (PARTITION BY session, {entity} ORDER BY frame, {other})) WHERE nth = 1 AND f <> {other}"""
 
 
 _FRAG, _SWAP = _switches("oracle_id", "baseline_id"), _switches("baseline_id", "oracle_id")
@@ -121,23 +125,56 @@ def wn09_switch_events(spark: SparkSession, d: str) -> DataFrame:
     return frag.unionByName(identity.switch_events(corr, "baseline_id", "oracle_id", CHUNK).withColumn("kind", F.lit("swap")))
 
 
-_BOUNDS = f"""bnd AS (SELECT session, unnest(generate_series(1, CAST(ceil(n / {CHUNK}) AS BIGINT) - 1)) * {CHUNK} AS b FROM (SELECT session, max(frame) + 1 AS n FROM sig GROUP BY session)),
-chk AS (SELECT c.session, b AS boundary_frame, oracle_id, arg_max(baseline_id, frame) FILTER (frame < b) AS before_baseline_id, max(frame) FILTER (frame < b) AS bf, arg_min(baseline_id, frame) FILTER (frame >= b) AS after_baseline_id, min(frame) FILTER (frame >= b) AS af FROM bnd JOIN (SELECT * FROM corr WHERE baseline_id IS NOT NULL) c ON c.session = bnd.session GROUP BY c.session, b, oracle_id),
+def _bounds(corr: str = "corr", totals: str = "SELECT session, max(frame) + 1 AS n FROM sig GROUP BY session") -> str:
+    return f"""bnd AS (SELECT session, unnest(generate_series(1, CAST(ceil(n / {CHUNK}) AS BIGINT) - 1)) * {CHUNK} AS b FROM ({totals})),
+chk AS (SELECT c.session, b AS boundary_frame, oracle_id, arg_max(baseline_id, frame) FILTER (frame < b) AS before_baseline_id, max(frame) FILTER (frame < b) AS bf, arg_min(baseline_id, frame) FILTER (frame >= b) AS after_baseline_id, min(frame) FILTER (frame >= b) AS af FROM bnd JOIN (SELECT * FROM {corr} WHERE baseline_id IS NOT NULL) c ON c.session = bnd.session GROUP BY c.session, b, oracle_id),
 bc AS (SELECT session, boundary_frame, oracle_id, before_baseline_id, after_baseline_id, before_baseline_id = after_baseline_id AS correct FROM chk WHERE bf IS NOT NULL AND af IS NOT NULL AND boundary_frame - bf <= {CHUNK} AND af - boundary_frame <= {CHUNK})"""
 
 
-@query(f"WITH {Q.RUNS}, {_BOUNDS} SELECT * FROM bc")
+@query(f"WITH {Q.RUNS}, {_bounds()} SELECT * FROM bc")
 def wn10_boundary_checks(spark: SparkSession, d: str) -> DataFrame:
     return identity.boundary_checks(_corr(spark, d), _totals(spark, d), CHUNK)
 
 
-@query(f"""WITH {Q.RUNS}, {_BOUNDS}, fr AS (SELECT session, count(*) AS f, count(*) FILTER (cross_chunk) AS fc FROM ({_FRAG}) GROUP BY session), sw AS (SELECT session, count(*) AS s, count(*) FILTER (cross_chunk) AS sc FROM ({_SWAP}) GROUP BY session), bk AS (SELECT session, count(*) AS t, count(*) FILTER (correct) AS c FROM bc GROUP BY session)
-SELECT session, coalesce(f, 0) AS fragmentation_count, coalesce(fc, 0) AS cross_chunk_fragmentation_count, coalesce(f - fc, 0) AS intra_chunk_fragmentation_count, coalesce(s, 0) AS swap_count, coalesce(sc, 0) AS cross_chunk_swap_count, coalesce(s - sc, 0) AS intra_chunk_swap_count, coalesce(c, 0) AS correct_boundary_matches, coalesce(t, 0) AS total_boundaries_checked, round(c / t, 6) AS boundary_accuracy
-FROM (SELECT DISTINCT session FROM sig) LEFT JOIN fr USING (session) LEFT JOIN sw USING (session) LEFT JOIN bk USING (session)""")
+def _report(corr: str = "corr") -> str:
+    """SQL of the report's parts fr, sw and bk, over _bounds()."""
+    parts = (("fr", "f", "oracle_id", "baseline_id"), ("sw", "s", "baseline_id", "oracle_id"))
+    counted = ", ".join(f"{t} AS (SELECT session, count(*) AS {n}, count(*) FILTER (cross_chunk) AS {n}c FROM ({_switches(x, y, corr)}) GROUP BY session)" for t, n, x, y in parts)
+    return f"{counted}, bk AS (SELECT session, count(*) AS t, count(*) FILTER (correct) AS c FROM bc GROUP BY session)"
+
+
+_REPORTED = "coalesce(f, 0) AS fragmentation_count, coalesce(fc, 0) AS cross_chunk_fragmentation_count, coalesce(f - fc, 0) AS intra_chunk_fragmentation_count, coalesce(s, 0) AS swap_count, coalesce(sc, 0) AS cross_chunk_swap_count, coalesce(s - sc, 0) AS intra_chunk_swap_count, coalesce(c, 0) AS correct_boundary_matches, coalesce(t, 0) AS total_boundaries_checked, round(c / t, 6) AS boundary_accuracy"
+
+
+@query(f"""WITH {Q.RUNS}, {_bounds()}, {_report()}
+SELECT session, {_REPORTED} FROM (SELECT DISTINCT session FROM sig) LEFT JOIN fr USING (session) LEFT JOIN sw USING (session) LEFT JOIN bk USING (session)""")
 def ag16_persistence_report(spark: SparkSession, d: str) -> DataFrame:
     return identity.report(files.settled(_corr(spark, d)), _totals(spark, d), CHUNK).withColumn("boundary_accuracy", r6("boundary_accuracy"))
 
 
+_CONFIG = 1_000_000
+_ALL_RUNS = f"SELECT {_CONFIG} + session AS session, frame, oracle_id, baseline_id FROM corr UNION ALL SELECT {2 * _CONFIG} + session, frame, id, id FROM ora UNION ALL SELECT {3 * _CONFIG} + session, frame, oracle_id, baseline_id * 2 FROM corr"
+
+
+@query(f"""WITH {Q.RUNS}, every AS MATERIALIZED ({_ALL_RUNS}), tt AS (SELECT k * {_CONFIG} + session AS session, n FROM (SELECT session, max(frame) + 1 AS n FROM sig GROUP BY session), (SELECT unnest([1, 2, 3]) AS k)), {_bounds("every", "SELECT * FROM tt")}, {_report("every")},
+ct AS (SELECT session, count(DISTINCT baseline_id) AS ids, count(baseline_id) AS matched FROM every GROUP BY session)
+SELECT session // {_CONFIG} AS config, session % {_CONFIG} AS session, ids, matched, {_REPORTED} FROM tt LEFT JOIN ct USING (session) LEFT JOIN fr USING (session) LEFT JOIN sw USING (session) LEFT JOIN bk USING (session)""")
+def jn23_configs_against_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs scored against one reference, a report for each: run and session are one key of one plan."""
+    oracle, base = A.two_runs(spark, d)
+    runs = [base, oracle, base.withColumn("id", F.col("id") * 2)]
+    shifted = lambda df, k: df.withColumn("session", F.col("session") + k * _CONFIG)
+    both = [(shifted(oracle, k), shifted(run, k)) for k, run in enumerate(runs, 1)]
+    first, second = both[0]
+    for o, r in both[1:]:
+        first, second = first.unionByName(o), second.unionByName(r)
+    corr = files.settled(identity.correspondence(first, second))
+    totals = _totals(spark, d).withColumn("session", F.explode(F.array(*(F.col("session") + k * _CONFIG for k in (1, 2, 3)))))
+    counts = corr.groupBy("session").agg(F.countDistinct("baseline_id").alias("ids"), F.count("baseline_id").alias("matched"))
+    out = identity.report(corr, totals, CHUNK).join(counts, "session").withColumn("boundary_accuracy", r6("boundary_accuracy"))
+    return out.withColumn("config", F.floor(F.col("session") / _CONFIG).cast("int")).withColumn("session", F.col("session") % _CONFIG)
+
+
 # --- chunks ----------------------------------------------------------------------------------------------------------
 
 _LEN, _OVER = 20, 5
@@ -151,7 +188,7 @@ def wn12_chunk_ranges(spark: SparkSession, d: str) -> DataFrame:
     return chunks.ranges(_totals(spark, d), _LEN, _OVER)
 
 
-_MEM = f"mem AS (SELECT session, track_id, frame, v, unnest(generate_series(greatest(0, CAST(ceil((frame - {_LEN} + 1) / {_STRIDE}) AS BIGINT)), least(frame // {_STRIDE}, {_LAST}))) AS chunk_index FROM sig JOIN tot USING (session))"
+_MEM = f"mem AS (SELECT session, track_id, frame, v, unnest(generate_series(greatest(0, CAST(ceil((frame - {_LEN} + 1) / {_STRIDE}) AS BIGINT)), least(frame // {_STRIDE}, {_LAST}))) AS chunk_index FROM sig JOIN tot USING (session) WHERE n > {_OVER})"
 
 
 @query(f"WITH {Q.SIG}, {_TOT}, {_MEM} SELECT session, chunk_index, count(*) AS rows_held, count(DISTINCT track_id) AS ids, CAST(sum(frame - chunk_index * {_STRIDE}) AS BIGINT) AS local_sum FROM mem GROUP BY session, chunk_index")
@@ -160,6 +197,16 @@ def wn13_chunk_membership(spark: SparkSession, d: str) -> DataFrame:
     return mem.groupBy("session", "chunk_index").agg(F.count(F.lit(1)).alias("rows_held"), F.countDistinct("track_id").alias("ids"), F.sum("local_frame").alias("local_sum"))
 
 
+_EVERY = 6
+
+
+@query(f"WITH {Q.SIG}, {_TOT}, {_MEM} SELECT session, chunk_index, (frame - chunk_index * {_STRIDE}) // {_EVERY} AS redetect_window, count(DISTINCT track_id) AS ids, min(frame) FILTER ((frame - chunk_index * {_STRIDE}) % {_EVERY} = 0) AS redetect_frame FROM mem GROUP BY ALL")
+def str10_redetections(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a chunk at whose first frame people are looked for anew."""
+    parts = chunks.redetections(chunks.memberships(A.signal(spark, d), _totals(spark, d), _LEN, _OVER), _EVERY)
+    return parts.groupBy("session", "chunk_index", "redetect_window").agg(F.countDistinct("track_id").alias("ids"), F.min(F.when(F.col("redetect"), F.col("frame"))).alias("redetect_frame"))
+
+
 @query(f"WITH {Q.SIG}, {_TOT}, {_MEM} SELECT session, track_id, frame, chunk_index FROM mem WHERE chunk_index = 0 OR frame - chunk_index * {_STRIDE} >= {_OVER}")
 def pf13_fresh_frames(spark: SparkSession, d: str) -> DataFrame:
     mem = chunks.memberships(A.signal(spark, d), _totals(spark, d), _LEN, _OVER)
@@ -208,11 +255,11 @@ def so05_id_sets(spark: SparkSession, d: str) -> DataFrame:
     return a.subtract(b).withColumn("kind", F.lit("gone")).unionByName(a.intersect(b).withColumn("kind", F.lit("kept")))
 
 
-@query(f"WITH {Q.KPW}, o AS (SELECT session, frame, track_id FROM kpw) SELECT 'pose' AS pipeline, session, frame, track_id, c0 AS nose_conf, NULL AS conf FROM kpw WHERE frame < 5 UNION ALL SELECT 'segmentation', NULL, frame, det, NULL, round(conf, 6) FROM ({'SELECT * FROM (WITH ' + Q.DET + ' SELECT * FROM det)'}) WHERE frame < 50")
+@query(f"WITH {Q.KPW}, o AS (SELECT session, frame, track_id FROM kpw) SELECT 'pose' AS pipeline, session, frame, track_id, c0 AS nose_conf, NULL AS conf FROM kpw UNION ALL SELECT 'segmentation', NULL, frame, det, NULL, round(conf, 6) FROM ({'SELECT * FROM (WITH ' + Q.DET + ' SELECT * FROM det)'})")
 def so02_both_pipelines(spark: SparkSession, d: str) -> DataFrame:
     """Rows of two pipelines in one table; what a pipeline lacks is NULL."""
-    pose = A.keypoints(spark, d).select(F.lit("pose").alias("pipeline"), "session", "frame", "track_id", F.col("kp")[0]["conf"].alias("nose_conf"))
-    seg = A.detections(spark, d).select(F.lit("segmentation").alias("pipeline"), "frame", F.col("det").alias("track_id"), r6("conf").alias("conf"))
+    pose = registry.build("pose", spark, d).select(F.lit("pose").alias("pipeline"), "session", "frame", "track_id", F.col("kp")[0]["conf"].alias("nose_conf"))
+    seg = registry.build("segmentation", spark, d).select(F.lit("segmentation").alias("pipeline"), "frame", F.col("det").alias("track_id"), r6("conf").alias("conf"))
     return pose.unionByName(seg, allowMissingColumns=True)
 
 
@@ -224,24 +271,24 @@ def jn21_id_remap(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("session", "person_id", "frame").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {Q.SIG}, a AS (SELECT session, frame, v FROM sig WHERE track_id % 20 = 4), b AS (SELECT session, frame, v FROM sig WHERE track_id % 20 = 5) SELECT session, frame, a.v AS v_pose, b.v AS v_seg FROM a JOIN b USING (session, frame)")
+@query(f"WITH {Q.SIG}, a AS (SELECT track_id // 2 AS pair, frame, v FROM sig WHERE track_id % 2 = 0), b AS (SELECT track_id // 2 AS pair, frame, v FROM sig WHERE track_id % 2 = 1) SELECT pair, frame, a.v AS v_pose, b.v AS v_seg FROM a JOIN b USING (pair, frame)")
 def jn03_zip_streams(spark: SparkSession, d: str) -> DataFrame:
     """Two streams frame by frame, as far as the shorter goes."""
     sig = A.signal(spark, d)
-    a, b = (sig.filter(F.col("track_id") % 20 == k).select("session", "frame", F.col("v").alias(n)) for k, n in ((4, "v_pose"), (5, "v_seg")))
-    return a.join(b, ["session", "frame"])
+    a, b = (sig.filter(F.col("track_id") % 2 == k).select(F.floor(F.col("track_id") / 2).alias("pair"), "frame", F.col("v").alias(n)) for k, n in enumerate(("v_pose", "v_seg")))
+    return a.join(b, ["pair", "frame"])
 
 
 _TOL = 3600 * 24
 
 
-@query(f"""WITH l AS (SELECT user_id, event_id, epoch(ts) AS t FROM events WHERE user_id % 20 = 0), r AS (SELECT CAST(floor(user_id / 20) AS BIGINT) AS g, event_id AS other, epoch(ts) AS rt FROM events WHERE user_id % 20 = 1),
-j AS (SELECT l.event_id, l.t, r.other, r.rt FROM l LEFT JOIN r ON r.g = CAST(floor(l.user_id / 20) AS BIGINT) AND r.rt <= l.t AND l.t - r.rt <= {_TOL}) SELECT event_id, arg_max(other, (rt, other)) AS other_id, round(max(t - rt) FILTER (FALSE), 3) AS unused FROM j GROUP BY event_id""".replace(", round(max(t - rt) FILTER (FALSE), 3) AS unused", ""))
+@query(f"""WITH l AS (SELECT user_id, event_id, epoch(ts) AS t FROM events WHERE user_id % 2 = 0), r AS (SELECT user_id // 2 AS g, event_id AS other, epoch(ts) AS rt FROM events WHERE user_id % 2 = 1),
+j AS (SELECT l.event_id, l.t, r.other, r.rt FROM l LEFT JOIN r ON r.g = l.user_id // 2 AND r.rt <= l.t AND l.t - r.rt <= {_TOL}) SELECT event_id, arg_max(other, (rt, other)) AS other_id, round(max(t - rt) FILTER (FALSE), 3) AS unused FROM j GROUP BY event_id""".replace(", round(max(t - rt) FILTER (FALSE), 3) AS unused", ""))
 def jn24_as_of(spark: SparkSession, d: str) -> DataFrame:
     """For each event the last one of the leader at or before it, within a tolerance: one sort over both streams."""
     from gaitline.operators.temporal import as_of
 
-    ev = A.read(spark, d, "events").select(F.floor(F.col("user_id") / 20).cast("long").alias("g"), "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    left = ev.filter("user_id % 20 = 0").select("g", "event_id", "t")
-    right = ev.filter("user_id % 20 = 1").select("g", F.col("event_id").alias("other_id"), "t")
+    ev = A.read(spark, d, "events").select(F.floor(F.col("user_id") / 2).cast("long").alias("g"), "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    left = ev.filter("user_id % 2 = 0").select("g", "event_id", "t")
+    right = ev.filter("user_id % 2 = 1").select("g", F.col("event_id").alias("other_id"), "t")
     return as_of(left, right, ["g"], "t", "other_id", _TOL * 1_000_000).select("event_id", "other_id")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gaitline.functions import geometry as G
-from gaitline.operators import chunks, color, identity, matching, motion, raster
+from gaitline.functions.skeleton import JOINT_ANGLES
+from gaitline.operators import chunks, color, matching, motion, raster
+from gaitline.operators.ingest import at_frames, keep_class, prefixed, total_frames
 from gaitline.sources import adapters as A
 from gaitline.streaming import reid as R
 
@@ -75,17 +77,7 @@ def jn10_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return matching.assign(scores, keys, "prev_id", "curr_id", "best_iou").filter("best_iou >= 0.3")
 
 
-@query(f"""WITH {Q.RUNS}, r AS (SELECT unnest([1, 2, 3]) AS k) SELECT k AS config, session, count(DISTINCT CASE WHEN k = 1 THEN baseline_id WHEN k = 2 THEN oracle_id ELSE baseline_id * 2 END) AS ids, count(*) AS matched FROM r, corr WHERE baseline_id IS NOT NULL GROUP BY k, session""")
-def jn23_configs_against_reference(spark: SparkSession, d: str) -> DataFrame:
-    """Three runs scored against one reference in one plan."""
-    oracle, base = A.two_runs(spark, d)
-    runs = {1: base, 2: oracle, 3: base.withColumn("id", F.col("id") * 2)}
-    parts = [identity.correspondence(oracle, run).filter("baseline_id is not null").select(F.lit(k).alias("config"), "session", "baseline_id") for k, run in runs.items()]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.groupBy("config", "session").agg(F.countDistinct("baseline_id").alias("ids"), F.count(F.lit(1)).alias("matched"))
-
-
-@query(f"WITH {Q.DET} SELECT frame, a.det AS a_id, b.det AS b_id, round(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1) / ((a.w + 1) * (a.h + 1) + (b.w + 1) * (b.h + 1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1)), 6) AS iou FROM det a JOIN det b USING (frame) WHERE a.det < b.det AND frame % 50 = 0")
+@query(f"WITH {Q.DET} SELECT frame, a.det AS a_id, b.det AS b_id, round(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1) / ((a.w + 1) * (a.h + 1) + (b.w + 1) * (b.h + 1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1)), 6) AS iou FROM det a JOIN det b USING (frame) WHERE a.det < b.det")
 def sc19_raster_iou(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of the boxes' outlines on the pixel grid, edges included."""
     det = A.detections(spark, d).select("frame", "det", G.box_polygon(F.col("bbox")).alias("poly"))
@@ -107,10 +99,11 @@ def snk06_summary(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(F.format_string("%d tracks, shortest %d, longest %d, under 60: %d", F.count(F.lit(1)), F.min("n"), F.max("n"), F.count_if(F.col("n") < 60)).alias("summary"))
 
 
-@query(f"WITH {Q.SIG} SELECT session, track_id, frame, max(v) OVER (PARTITION BY session, track_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS t FROM sig")
+@query(f"""WITH RECURSIVE {Q.SIG}, c(session, track_id, frame, t) AS (SELECT session, track_id, frame, CAST(floor(v) AS BIGINT) FROM sig WHERE frame = 0 UNION ALL SELECT s.session, s.track_id, s.frame, greatest(CAST(floor(s.v) AS BIGINT), c.t + 1) FROM c JOIN sig s ON s.track_id = c.track_id AND s.frame = c.frame + 1) SELECT * FROM c""")
 def str17_monotone_times(spark: SparkSession, d: str) -> DataFrame:
-    """Time stamps that never go back."""
-    return A.signal(spark, d).select("session", "track_id", "frame", F.max("v").over(motion.track().rowsBetween(W.unboundedPreceding, 0)).alias("t"))
+    """Time stamps in whole milliseconds that always go on: one that doesn't becomes the last one and 1."""
+    sig = A.signal(spark, d)
+    return sig.select("session", "track_id", "frame", motion.strictly_later(F.floor("v").cast("long"), motion.track()).alias("t"))
 
 
 @query()
@@ -146,3 +139,76 @@ def jn14_possible_merges(spark: SparkSession, d: str) -> DataFrame:
     return a.join(s, "run").filter("from_id <> into_id and l < f").select("run", "from_id", "into_id")
 
 
+
+_CROP = [f"greatest(0, least({most}, CAST(round_even({c}, 0) AS INT)))" for c, most in (("x1", A.WIDTH), ("y1", A.HEIGHT), ("x2", A.WIDTH), ("y2", A.HEIGHT))]
+
+
+@query(f"WITH {Q.DET}, c AS (SELECT frame, det, w * h AS box, {', '.join(f'{e} AS c{k}' for k, e in enumerate(_CROP))} FROM (SELECT frame, det, w, h, x1 + 5e-1 AS x1, y1 - 25e-2 AS y1, x2 + 5e-1 AS x2, y2 + 15e-1 AS y2 FROM det)) SELECT frame, det, c0 AS x1, c1 AS y1, c2 AS x2, c3 AS y2, (det % 7) * box / 8 / ((c2 - c0) * (c3 - c1)) >= 15e-2 AS masked FROM c WHERE c2 - c0 >= 24 AND c3 - c1 >= 48")
+def sc37_person_crop(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of people large enough to embed, and whether their mask fills enough to be used."""
+    det = A.detections(spark, d)
+    moved = F.struct((F.col("bbox.x1") + 0.5).alias("x1"), (F.col("bbox.y1") - 0.25).alias("y1"), (F.col("bbox.x2") + 0.5).alias("x2"), (F.col("bbox.y2") + 1.5).alias("y2"))
+    covered = (F.col("det") % 7) * (F.col("bbox.x2") - F.col("bbox.x1")) * (F.col("bbox.y2") - F.col("bbox.y1")) / 8
+    crop = G.person_crop(moved, A.WIDTH, A.HEIGHT, F.lit(1.0))
+    fill = covered / ((crop["x2"] - crop["x1"]) * (crop["y2"] - crop["y1"]))
+    return det.withColumn("c", G.person_crop(moved, A.WIDTH, A.HEIGHT, fill)).filter("c is not null").select("frame", "det", "c.*")
+
+
+@query(f"SELECT session, track_id, frame, {', '.join(f'{n} AS pose_{n}' for n in JOINT_ANGLES)} FROM ({ORACLES['sc02_joint_angles']})")
+def pf03_prefixed(spark: SparkSession, d: str) -> DataFrame:
+    return prefixed(pose.sc02_joint_angles(spark, d), "pose_", "session", "track_id", "frame")
+
+
+@query(f"WITH {Q.DET} SELECT frame, det, round(conf, 6) AS conf FROM det WHERE det % 3 = 0")
+def pf04_people_only(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one detector class."""
+    return keep_class(A.detections(spark, d).withColumn("class_id", F.col("det") % 3)).select("frame", "det", r6("conf").alias("conf"))
+
+
+@query(f"WITH {Q.SIG}, q AS (SELECT DISTINCT session, unnest([0, 37, 1000000]) AS frame FROM sig) SELECT q.session, q.frame, track_id, round(v, 6) AS v FROM q LEFT JOIN sig USING (session, frame)")
+def src09_frame_access(spark: SparkSession, d: str) -> DataFrame:
+    """Single frames of each session; past the end there is one row without a value."""
+    sig = A.signal(spark, d)
+    wanted = sig.select("session").distinct().withColumn("frame", F.explode(F.array(*(F.lit(k).cast("long") for k in (0, 37, 1_000_000)))))
+    return at_frames(sig, wanted).select("session", "frame", "track_id", r6("v").alias("v"))
+
+
+@query(f"WITH {Q.SIG}, q AS (SELECT DISTINCT session FROM sig UNION ALL SELECT -1), n AS (SELECT session, max(frame) + 1 AS n FROM sig GROUP BY session) SELECT session, n FROM q LEFT JOIN n USING (session)")
+def src11_total_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Length of each session asked for; unknown ones have none."""
+    sig = A.signal(spark, d)
+    asked = sig.select("session").distinct().unionByName(spark.createDataFrame([(-1,)], "session long"))
+    return total_frames(asked, sig, "null")
+
+
+def _hair(name: str) -> Q.Point:
+    return Q.joint(name)
+
+
+_UP = tuple(f"({_hair('nose')[k]} - {Q.SHOULDER[k]})" for k in (0, 1))
+_EARS = [_hair("right_ear"), _hair("left_ear")]
+_KNOWN = " AND ".join(f"{v} IS NOT NULL" for v in (*_EARS[0], *_EARS[1], *_UP))
+
+
+@query(f"WITH {Q.KPW} SELECT session, track_id, frame, {', '.join(f'CASE WHEN {_KNOWN} THEN {e} END AS {n}' for n, e in ((f'h{k}_{a}', _EARS[(0, 1, 1, 0)[k]][i] + (f' + {_UP[i]}' if k > 1 else '')) for k in range(4) for i, a in enumerate('xy')))} FROM kpw")
+def sc25_hair_corners(spark: SparkSession, d: str) -> DataFrame:
+    corners = G.hair_corners(F.col("kp"))
+    return A.keypoints(spark, d).select("session", "track_id", "frame", *(c[a].alias(f"h{k}_{a}") for k, c in enumerate(corners) for a in "xy"))
+
+
+_SHAPE = "1 - (least(abs(a.aspect - b.aspect) / greatest(a.aspect, b.aspect, 1e-6), 1) + abs(a.fill - b.fill)) / 2"
+
+
+@query(f"""WITH {Q.DET}, s AS (SELECT frame, det, w / h AS aspect, (w * h - 50) / (w * h) AS fill, [(det * k + frame) % 17 + 1 FOR k IN generate_series(1, 16)] AS raw FROM det), hs AS (SELECT *, list_sum(raw) AS total FROM s)
+SELECT a.frame, a.det AS a_id, b.det AS b_id, round(greatest(0e0, least(1e0, {_SHAPE})), 6) AS shape, round(list_sum(list_transform(generate_series(1, 16), lambda k: least(a.raw[k] / a.total, b.raw[k] / b.total))), 6) AS histogram FROM hs a JOIN hs b ON a.frame = b.frame AND a.det < b.det""")
+def sc29_shape_and_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Likeness of two people's outlines and of their hue histograms."""
+    area = G.polygon_area(F.col("poly"))
+    raw = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: ((F.col("det") * k + F.col("frame")) % 17 + 1).cast("double"))
+    s = A.detections(spark, d).withColumn("raw", raw).withColumn("hist", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda t, y: t + y)))
+    aspect, fill = G.shape_descriptor(F.col("bbox"), area, F.size("poly"))
+    s = s.select("frame", "det", aspect.alias("aspect"), fill.alias("fill"), "hist")
+    a, b = (s.select("frame", *(F.col(c).alias(f"{c}_{x}") for c in ("det", "aspect", "fill", "hist"))) for x in "ab")
+    both = a.join(b, "frame").filter("det_a < det_b")
+    shape = G.shape_similarity((F.col("aspect_a"), F.col("fill_a")), (F.col("aspect_b"), F.col("fill_b")))
+    return both.select("frame", F.col("det_a").alias("a_id"), F.col("det_b").alias("b_id"), r6(shape).alias("shape"), r6(G.histogram_similarity(F.col("hist_a"), F.col("hist_b"))).alias("histogram"))

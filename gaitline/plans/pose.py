@@ -250,20 +250,21 @@ def wn08_sliding_repetitiveness(spark: SparkSession, d: str) -> DataFrame:
 _PAIR = 20
 
 
-@query(f"""WITH {Q.SIG}, a AS (SELECT session, frame, v FROM sig WHERE track_id % 20 = 0), b AS (SELECT session, frame, v FROM sig WHERE track_id % 20 = 1), p AS (SELECT a.session, a.frame, a.v AS a, b.v AS b, max(a.frame) OVER (PARTITION BY a.session) + 1 AS n FROM a JOIN b USING (session, frame)),
-w AS (SELECT session, a, b, n, unnest(generate_series(greatest(0, CAST(ceil((frame - {ROWS} + 1) / 5) AS BIGINT)), frame // 5)) * 5 AS frame_start FROM p)
-SELECT session, frame_start, frame_start + {ROWS} AS frame_end, round(CASE WHEN stddev_pop(a) >= 1e-8 AND stddev_pop(b) >= 1e-8 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END, 6) AS synchrony FROM w WHERE frame_start + {ROWS} <= n GROUP BY session, frame_start""")
+@query(f"""WITH {Q.SIG}, a AS (SELECT track_id // 2 AS pair, frame, v FROM sig WHERE track_id % 2 = 0), b AS (SELECT track_id // 2 AS pair, frame, v FROM sig WHERE track_id % 2 = 1), p AS (SELECT a.pair, a.frame, a.v AS a, b.v AS b, max(a.frame) OVER (PARTITION BY a.pair) + 1 AS n FROM a JOIN b USING (pair, frame)),
+w AS (SELECT pair, a, b, n, unnest(generate_series(greatest(0, CAST(ceil((frame - {ROWS} + 1) / 5) AS BIGINT)), frame // 5)) * 5 AS frame_start FROM p)
+SELECT pair, frame_start, frame_start + {ROWS} AS frame_end, round(CASE WHEN stddev_pop(a) >= 1e-8 AND stddev_pop(b) >= 1e-8 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END, 6) AS synchrony FROM w WHERE frame_start + {ROWS} <= n GROUP BY pair, frame_start""")
 def wn03_synchrony(spark: SparkSession, d: str) -> DataFrame:
-    sig = A.signal(spark, d)
-    a, b = (sig.filter(F.col("track_id") % 20 == k) for k in (0, 1))
-    return motion.synchrony(a, b, ROWS, 5).withColumn("synchrony", r6("synchrony"))
+    """Of the tracks two by two."""
+    sig = A.signal(spark, d).withColumn("pair", F.floor(F.col("track_id") / 2))
+    a, b = (sig.filter(F.col("track_id") % 2 == k) for k in (0, 1))
+    return motion.synchrony(a, b, ROWS, 5, ("pair",)).withColumn("synchrony", r6("synchrony"))
 
 
-@query(f"WITH {Q.KPW}, h AS (SELECT session, track_id % 20 AS t, frame, {Q.HIP[0]} AS hx, {Q.HIP[1]} AS hy FROM kpw) SELECT a.session, a.frame, {s6(Q.dist(('a.hx', 'a.hy'), ('b.hx', 'b.hy')), 'proximity')} FROM h a JOIN h b ON a.session = b.session AND a.frame = b.frame WHERE a.t = 2 AND b.t = 3")
+@query(f"WITH {Q.KPW}, h AS (SELECT track_id // 2 AS pair, track_id % 2 AS t, frame, {Q.HIP[0]} AS hx, {Q.HIP[1]} AS hy FROM kpw) SELECT a.pair, a.frame, {s6(Q.dist(('a.hx', 'a.hy'), ('b.hx', 'b.hy')), 'proximity')} FROM h a JOIN h b ON a.pair = b.pair AND a.frame = b.frame WHERE a.t = 0 AND b.t = 1")
 def jn01_proximity(spark: SparkSession, d: str) -> DataFrame:
-    kp = A.keypoints(spark, d)
-    a, b = (kp.filter(F.col("track_id") % 20 == k) for k in (2, 3))
-    return motion.proximity(a, b).withColumn("proximity", r6("proximity"))
+    kp = A.keypoints(spark, d).withColumn("pair", F.floor(F.col("track_id") / 2))
+    a, b = (kp.filter(F.col("track_id") % 2 == k) for k in (0, 1))
+    return motion.proximity(a, b, ("pair",)).withColumn("proximity", r6("proximity"))
 
 
 @query(f"WITH RECURSIVE {Q.SIG}, e(session, track_id, frame, ema) AS (SELECT session, track_id, frame, v FROM sig WHERE frame = 0 UNION ALL SELECT s.session, s.track_id, s.frame, 9e-1 * e.ema + (1 - 9e-1) * s.v FROM e JOIN sig s ON s.track_id = e.track_id AND s.frame = e.frame + 1) SELECT session, track_id, round(arg_max(ema, frame), 6) AS ema FROM e GROUP BY session, track_id")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,11 +72,64 @@ def manifest(df: DataFrame, chunks: DataFrame, chunk: str = "chunk_index") -> Da
     return chunks.join(held, chunk, "left").na.fill(0, ["rows_held"])
 
 
-def mask_files(spark: SparkSession, folder: str, suffix: str = "mp4") -> DataFrame:
-    """id, path, length of the files named <integer>.<suffix>; others are left out. Contents are not read."""
+_LISTED = "id long, path string, length long"
+
+
+def _there(spark: SparkSession, folder: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def mask_files(spark: SparkSession, folder: str, suffix: str = "mp4", required: bool = False) -> DataFrame:
+    """id, path, length of the files named <integer>.<suffix>; others are left out. Contents are not read.
+
+    A missing folder has none. required: FileNotFoundError for a missing folder, ValueError for one without masks.
+    """
+    if not _there(spark, folder):
+        if required:
+            raise FileNotFoundError(folder)
+        return spark.createDataFrame([], _LISTED)
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
     name = F.regexp_extract("path", rf"/(\d+)\.{suffix}$", 1)
-    return files.withColumn("id", F.when(name != "", name).cast("long")).filter("id is not null").select("id", "path", "length")
+    found = files.withColumn("id", F.when(name != "", name).cast("long")).filter("id is not null").select("id", "path", "length")
+    if required and found.isEmpty():
+        raise ValueError(f"no <integer>.{suffix} in {folder}")
+    return found
+
+
+def _runs_of(pixels: np.ndarray) -> list[dict]:
+    """Runs of a row-by-row mask [row, column], each within its row."""
+    edge = np.diff(np.pad(pixels.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (y, x0), (_, x1) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return [{"start": s, "len": n} for s, n in zip((y * pixels.shape[1] + x0).tolist(), (x1 - x0).tolist())]
+
+
+def mask_frames(spark: SparkSession, folder: str, threshold: int = 127) -> DataFrame:
+    """id, frame, h, w, rle of the images <id>/<frame>.pgm (binary, 8 bit): pixels over the threshold; an empty frame has an empty rle.
+
+    Other files are left out; a broken image is an error that names it. Images go to Python a batch at a time.
+    """
+    schema = "id long, frame long, h int, w int, rle array<struct<start:bigint,len:int>>"
+    if not _there(spark, folder):
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    at = lambda k: F.regexp_extract("path", r"/(\d+)/(\d+)\.pgm$", k)
+    named = files.filter(at(1) != "").select(at(1).cast("long").alias("id"), at(2).cast("long").alias("frame"), "path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, rles = [], []
+            for path, raw in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                head = re.match(rb"P5(?:\s+(?:#[^\n]*\n\s*)?)(\d+)\s+(\d+)\s+(\d+)\s", raw)
+                if not head or len(raw) - head.end() < int(head[1]) * int(head[2]) or int(head[3]) > 255:
+                    raise ValueError(f"not an 8-bit PGM image: {path}")
+                w, h = int(head[1]), int(head[2])
+                sizes.append((h, w))
+                rles.append(_runs_of(np.frombuffer(raw, np.uint8, h * w, head.end()).reshape(h, w) > threshold))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32()), pa.array(rles, kind)], ["id", "frame", "h", "w", "rle"])
+
+    return named.mapInArrow(run, schema)
 
 
 def equal_lengths(masks: DataFrame) -> DataFrame:
