@@ -26,8 +26,7 @@ def test_raster_iou_of_every_frame(spark, sf_small, duck):
     have = sorted(got[["frame", "a_id", "b_id", "iou"]].itertuples(index=False, name=None))
     assert [x[:3] for x in have] == [x[:3] for x in sorted(want)]
     assert np.allclose([x[3] for x in have], [x[3] for x in sorted(want)], rtol=0, atol=6e-7)
-    # the SQL's rows are those of frames that 50 divides
-    assert rows_of(got[got["frame"] % 50 == 0]) == rows_of(duck.execute(ORACLES["sc19_raster_iou"]).df())
+    assert rows_of(got) == rows_of(duck.execute(ORACLES["sc19_raster_iou"]).df())
 
 
 def test_raster_shortcuts_equal_spans():
@@ -54,8 +53,7 @@ def test_similarity_of_all_pairs(spark, sf_small, duck):
     have = {(a, b): s for a, b, s in got[["a_id", "b_id", "similarity"]].itertuples(index=False, name=None)}
     assert len(got) == len(have) and have.keys() == want.keys()
     assert all(abs(have[k] - want[k]) <= 6e-7 for k in want)
-    # the SQL's rows are those whose left id 5 divides
-    assert rows_of(got[got["a_id"] % 5 == 0]) == rows_of(duck.execute(ORACLES["sc30_embedding_similarity"]).df())
+    assert rows_of(got) == rows_of(duck.execute(ORACLES["sc30_embedding_similarity"]).df())
 
 
 def test_dense_export_to_the_end_of_the_run(spark, sf_small):
@@ -72,7 +70,7 @@ def test_union_and_round_trip_of_whole_tables(spark, sf_small, duck):
     got = QUERIES["so02_both_pipelines"](spark, sf_small).toPandas()
     pose = got["pipeline"] == "pose"
     assert pose.sum() == A.signal(spark, sf_small).count() and (~pose).sum() == A.detections(spark, sf_small).count()
-    assert rows_of(got[got["frame"] < np.where(pose, 5, 50)]) == rows_of(duck.execute(ORACLES["so02_both_pipelines"]).df())
+    assert rows_of(got) == rows_of(duck.execute(ORACLES["so02_both_pipelines"]).df())
     # the smallest tables have one session
     more = str(DATA / "sf0.01")
     back = QUERIES["snk01_csv_round_trip"](spark, more).toPandas()
