@@ -299,6 +299,8 @@ SPREAD = 64
 ORBIT = 2
 #: Rows of pairs, labels or hashes (16 to 24 bytes each) that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
+#: Shingles (8 bytes each) of hubs that are broadcast at most.
+BROADCAST_SHINGLES = 4_000_000
 
 
 def _sided(df: DataFrame) -> DataFrame:
@@ -476,8 +478,10 @@ def _orbits(left: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     whole = survivors.select("cls", "n", "shingles")
     own = whole.join(_sided(hubs), "cls")
     middles = through_disk(hubs.select("hub").distinct(), "hubs")
-    held = whole.join(_sided(middles), F.col("cls") == F.col("hub")).select("hub", F.col("n").alias("nh"), F.col("shingles").alias("sh"))
-    both = own.join(held, "hub").withColumn("added", F.array_except("shingles", "sh")).withColumn("n_added", F.size("added").cast("long"))
+    held = through_disk(whole.join(_sided(middles), F.col("cls") == F.col("hub")).select("hub", F.col("n").alias("nh"), F.col("shingles").alias("sh")), "middles")
+    # a hub with many sets about it: where the hubs' own sets are small enough, these stay where they are
+    few = (held.agg(F.sum("nh")).first()[0] or 0) <= BROADCAST_SHINGLES
+    both = own.join(F.broadcast(held) if few else held, "hub").withColumn("added", F.array_except("shingles", "sh")).withColumn("n_added", F.size("added").cast("long"))
     both = both.withColumn("n_gone", F.col("nh") - F.col("n") + F.col("n_added")).withColumn("r", F.col("n_added") + F.col("n_gone"))
     limit = (100 - percent) * (F.col("n") + F.col("nh"))
     out = both.filter((100 + percent) * F.col("r") <= ORBIT * limit)
