@@ -20,19 +20,6 @@ from .catalog import ORACLES, query
 from .identity import CHUNK
 from .pose import FPS, r6
 
-_LIVE = ["ag05_live_energy", "sc02_joint_angles", "sc04_self_touch"]
-
-
-@query(f"SELECT * FROM ({ORACLES[_LIVE[0]]}) JOIN ({ORACLES[_LIVE[1]]}) USING (session, track_id, frame) JOIN ({ORACLES[_LIVE[2]]}) USING (session, track_id, frame)")
-def str01_live_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each frame of a full window: window features, angles and self-touch from one pass over the track."""
-    kp = motion.with_speeds(A.keypoints(spark, d), FPS)
-    out = motion.sliding(kp, motion.strict_energy(F.col("speeds")), pose.ROWS, 3e8)
-    head = G.head_center(F.col("kp"))
-    angles = (r6(c).alias(n) for n, c in G.joint_angles(F.col("kp")).items())
-    return out.select("session", "track_id", "frame", r6(F.col("window_energy") / 987654321.0).alias("window_energy"), r6("activity").alias("activity"), *angles, r6(head["x"]).alias("head_x"), r6(head["y"]).alias("head_y"), r6(G.self_touch_now(F.col("kp"))).alias("self_touch"))
-
-
 @query(f"WITH {Q.SIG}, f AS (SELECT session, track_id, min(frame) AS first_frame, min(event_id) AS known FROM sig GROUP BY session, track_id), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY known % 2, known, track_id) AS k FROM f) SELECT session, track_id, k AS slot FROM r WHERE k <= 4")
 def tk02_seed_cap(spark: SparkSession, d: str) -> DataFrame:
     """The first four in order of discovery, known ones before new ones."""

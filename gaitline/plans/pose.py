@@ -88,21 +88,31 @@ def sc04_self_touch(spark: SparkSession, d: str) -> DataFrame:
 _NORM = ", ".join(f"CASE WHEN torso >= 1e-3 THEN ({Q.clinical(n)[k]} - {Q.HIP[k]}) / torso END AS {n}_{a}" for n in CLINICAL_POINTS for k, a in enumerate("xy"))
 _DER = Q.clinical_derived()
 _MOVING = [f"{n}_{a}" for n in CLINICAL_MOVING for a in "xy"]
-_CLIN = (
-    f"WITH {Q.KPW}, t AS (SELECT *, {Q.TORSO} AS torso FROM kpw), n AS (SELECT session, track_id, frame, t_s, {_NORM} FROM t), "
-    f"dv AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _DER.items())} FROM n), "
-    f"v AS (SELECT *, {', '.join(f'({m} - lag({m}) OVER w) / greatest(t_s - lag(t_s) OVER w, 1e-3) AS {m}_vel' for m in _MOVING)}, t_s - lag(t_s) OVER w AS dt FROM dv WINDOW w AS (PARTITION BY session, track_id ORDER BY frame)) "
-    f"SELECT session, track_id, frame, {', '.join(s6(f'{n}_{a}', f'{n}_{a}') for n in CLINICAL_POINTS for a in 'xy')}, {', '.join(s6(k, k) for k in _DER)}, "
-    f"{', '.join(s6(f'{m}_vel / 1e3', f'{m}_vel') for m in _MOVING)}, {', '.join(s6(f'(({m}_vel - lag({m}_vel) OVER w) / greatest(dt, 1e-3)) / 1e3', f'{m}_acc') for m in _MOVING)} FROM v WINDOW w AS (PARTITION BY session, track_id ORDER BY frame)"
-)
 
 
-@query(_CLIN)
+def clinical_sql(source: str = "kpw") -> str:
+    """SQL of the clinical columns over rows of joints."""
+    return (
+        f"t AS (SELECT *, {Q.TORSO} AS torso FROM {source}), n AS (SELECT session, track_id, frame, t_s, {_NORM} FROM t), "
+        f"dv AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _DER.items())} FROM n), "
+        f"v AS (SELECT *, {', '.join(f'({m} - lag({m}) OVER w) / greatest(t_s - lag(t_s) OVER w, 1e-3) AS {m}_vel' for m in _MOVING)}, t_s - lag(t_s) OVER w AS dt FROM dv WINDOW w AS (PARTITION BY session, track_id ORDER BY frame)), "
+        f"cl AS (SELECT session, track_id, frame, {', '.join(s6(f'{n}_{a}', f'{n}_{a}') for n in CLINICAL_POINTS for a in 'xy')}, {', '.join(s6(k, k) for k in _DER)}, "
+        f"{', '.join(s6(f'{m}_vel / 1e3', f'{m}_vel') for m in _MOVING)}, {', '.join(s6(f'(({m}_vel - lag({m}_vel) OVER w) / greatest(dt, 1e-3)) / 1e3', f'{m}_acc') for m in _MOVING)} FROM v WINDOW w AS (PARTITION BY session, track_id ORDER BY frame))"
+    )
+
+
+CLINICAL = [f"{n}_{a}" for n in CLINICAL_POINTS for a in "xy"] + list(_DER) + [f"{m}_{k}" for m in _MOVING for k in ("vel", "acc")]
+
+
+def clinical_rounded(kp: DataFrame) -> DataFrame:
+    out = motion.clinical(kp)
+    return out.select("session", "track_id", "frame", *(r6(F.col(c) / 1e3 if c.endswith(("_vel", "_acc")) else c).alias(c) for c in CLINICAL))
+
+
+@query(f"WITH {Q.KPW}, {clinical_sql()} SELECT * FROM cl")
 def sc08_clinical_features(spark: SparkSession, d: str) -> DataFrame:
     """All 97 columns; velocities and accelerations in thousands of torso lengths."""
-    out = motion.clinical(A.keypoints(spark, d))
-    still = [f"{n}_{a}" for n in CLINICAL_POINTS for a in "xy"] + list(_DER)
-    return out.select("session", "track_id", "frame", *(r6(c).alias(c) for c in still), *(r6(F.col(f"{m}_{k}") / 1e3).alias(f"{m}_{k}") for m in _MOVING for k in ("vel", "acc")))
+    return clinical_rounded(A.keypoints(spark, d))
 
 
 @query(f"WITH {Q.KPW} SELECT session, track_id, frame, {', '.join(f'10e0 + x{k} / {A.WIDTH} * 100e0 AS px{k}, 20e0 + y{k} / {A.HEIGHT} * 200e0 AS py{k}' for k in (0, 9, 16))} FROM kpw")
@@ -219,7 +229,7 @@ def ag07_blink_rate(spark: SparkSession, d: str) -> DataFrame:
 # --- spectra, pairs of tracks -------------------------------------------------------------------------------
 
 
-def _dft(source: str, keys: str, fps: float) -> str:
+def dft(source: str, keys: str, fps: float) -> str:
     """SQL of the spectral score over source(keys, i, n, x)."""
     turn = f"{2 * math.pi!r} * k * i / n"
     return f"""tot AS (SELECT {keys}, max(n) AS n, (max(n) * sum(x * x) + CASE WHEN max(n) % 2 = 0 THEN power(sum(x * CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END), 2) ELSE 0 END) / 2 AS total FROM {source} GROUP BY {keys}),
@@ -229,7 +239,7 @@ pk AS (SELECT {keys}, arg_max(k, (p, -k)) AS k, max(p) AS p FROM spec GROUP BY {
 SELECT {keys}, n, CASE WHEN n >= 8 AND total >= 1e-12 THEN round(k * {fps}e0 / n, 6) END AS peak_freq_hz, CASE WHEN n >= 8 THEN CASE WHEN total < 1e-12 OR k IS NULL THEN 0e0 ELSE round(p / total, 6) END END AS peak_power_ratio FROM tot LEFT JOIN pk USING ({keys})"""
 
 
-@query(f"WITH {Q.SIG}, z AS (SELECT session, track_id, row_number() OVER (PARTITION BY session, track_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY session, track_id) AS n, v - avg(v) OVER (PARTITION BY session, track_id) AS x FROM sig), {_dft('z', 'session, track_id', FPS)}")
+@query(f"WITH {Q.SIG}, z AS (SELECT session, track_id, row_number() OVER (PARTITION BY session, track_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY session, track_id) AS n, v - avg(v) OVER (PARTITION BY session, track_id) AS x FROM sig), {dft('z', 'session, track_id', FPS)}")
 def wn04_spectral_score(spark: SparkSession, d: str) -> DataFrame:
     out = spectral.repetitiveness(A.signal(spark, d), "v", FPS, TRACK)
     return out.select(*TRACK, "n", r6("peak_freq_hz").alias("peak_freq_hz"), r6("peak_power_ratio").alias("peak_power_ratio"))
@@ -240,7 +250,7 @@ _HOP = 10
 
 @query(f"""WITH {Q.SIG}, m AS (SELECT *, count(*) OVER (PARTITION BY session, track_id) AS m FROM sig), ww AS (SELECT session, track_id, frame, v, unnest(generate_series(greatest(0, CAST(ceil((frame - {ROWS} + 1) / {_HOP}) AS BIGINT)), frame // {_HOP})) AS w, m FROM m),
 u AS (SELECT session, track_id, w * {_HOP} + {ROWS} - 1 AS window_end, frame, v FROM ww WHERE w * {_HOP} + {ROWS} <= m),
-z AS (SELECT session, track_id, window_end, row_number() OVER (PARTITION BY session, track_id, window_end ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY session, track_id, window_end) AS n, v - avg(v) OVER (PARTITION BY session, track_id, window_end) AS x FROM u), {_dft('z', 'session, track_id, window_end', FPS)}""")
+z AS (SELECT session, track_id, window_end, row_number() OVER (PARTITION BY session, track_id, window_end ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY session, track_id, window_end) AS n, v - avg(v) OVER (PARTITION BY session, track_id, window_end) AS x FROM u), {dft('z', 'session, track_id, window_end', FPS)}""")
 def wn08_sliding_repetitiveness(spark: SparkSession, d: str) -> DataFrame:
     """The score of the raw signed signal, in hopping full windows."""
     out = spectral.sliding_repetitiveness(A.signal(spark, d), "v", FPS, ROWS, _HOP, TRACK)

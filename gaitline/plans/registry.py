@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import appearance, identity, more, pixels, pose  # noqa: F401
+from . import appearance, identity, live, more, pixels, pose  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
