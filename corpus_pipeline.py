@@ -21,10 +21,16 @@ from gaitline.sources.files import settled
 MIN_SCORE = 0.5
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver's JVM give back what the plans of earlier stages took: there are hundreds, and its memory is small."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told: not `und`, score of at least MIN_SCORE. Without labels in lang all texts are
     `und`; null and empty texts are too.
     """
+    tidy(spark)
     steady_reads(spark)
     model = langid.learn(docs)
     found = langid.identify(docs, model, pred_col="_lang_pred", score_col="_score")
@@ -36,7 +42,9 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whose hash is the least. Documents that link with nothing stay, and so do rows with a null id. Rows that
     repeat both id and text are one document. An empty table stays empty.
     """
+    tidy(spark)
     found = settled(jaccard.linked(docs), "linked").filter("component_id is not null")
+    tidy(spark)
     gone = found.filter("doc_id <> component_id").select("doc_id", "key")
     repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if repeated:
@@ -53,6 +61,7 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more lies in benchmark passages; null and empty texts stay."""
+    tidy(spark)
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_text")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
@@ -62,6 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mix takes it: 0, 1 or 2 times. Rows equal in id, text and source together as often as the mix
     takes them together; null and empty texts, of no size, are never taken. An empty table stays empty.
     """
+    tidy(spark)
     times = F.expr("case when taken > 0 then cast(taken div size as int) else 0 end")
     taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), times.alias("_times"))
     taken = taken.groupBy("_id", "_key").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
@@ -75,6 +85,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their slot and shard; copies of a document share a shard."""
+    tidy(spark)
     steady_reads(spark)
     return place(docs, "doc_id", SHARDS)
 
