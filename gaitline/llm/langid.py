@@ -32,7 +32,7 @@ SMOOTHING, UNKNOWN = 2000.0, 1e-7
 UNDETERMINED = "und"
 CACHE_WORDS = 700_000
 #: Longer words are summed in logarithms, which do not underflow; words of a lattice.
-PLAIN_CHARS, LATTICE_WORDS = 24, 10_000
+PLAIN_CHARS, LATTICE_WORDS = 24, 2_000
 
 _letters = regex.compile(r"\p{L}+")
 

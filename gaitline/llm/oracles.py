@@ -7,6 +7,15 @@ from .repetition import BASE_GRAM, BASE_SHARE, BASE_WORDS, GRAM_LIMITS, LINE_LIM
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def op1(owners: list[int]) -> str:
+    """Slots by arithmetic on the digest; the table, which SQL can't fill in turns, as a list."""
+    return f"""
+WITH t AS (SELECT unnest(generate_series(0, {len(owners) - 1})) AS slot, unnest({owners}) AS shard), d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS UBIGINT) % {len(owners)} AS BIGINT) AS slot FROM documents)
+SELECT doc_id, CAST(slot AS INT) AS slot, CAST(shard AS INT) AS shard FROM d JOIN t USING (slot)"""
+
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source),

@@ -61,4 +61,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_mixing, op4_language_id, op5_jaccard_join, op6_lm_scoring, op7_chat, op8_token_counts, op9_repetition, op10_decontamination)}
 #: The others learn a model or use a vocabulary; tests hold them against brute force or held-out rows.
-ORACLES: dict[str, str] = {"op3_mixing": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op7_chat": oracles.OP7, "op9_repetition": oracles.OP9, "op10_decontamination": oracles.OP10}
+ORACLES: dict[str, str] = {"op1_sharding": oracles.op1(sharding.lookup_table(SHARDS).tolist()), "op3_mixing": oracles.OP3, "op5_jaccard_join": oracles.OP5, "op7_chat": oracles.OP7, "op9_repetition": oracles.OP9, "op10_decontamination": oracles.OP10}
