@@ -94,8 +94,11 @@ def blink_rate(df: DataFrame, ratio: str, rows: int, window_s: float, threshold:
     return marked.select(*df.columns, rate.alias("blink_rate_per_min"), "_full").filter("_full").drop("_full")
 
 
-def clinical(df: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
-    """97 columns: 38 normalized coordinates, 27 derived values, 32 velocities and accelerations by elapsed time (1 ms at least)."""
+def clinical(df: DataFrame, keys: Sequence[str] = TRACK, forget_s: float | None = None) -> DataFrame:
+    """97 columns: 38 normalized coordinates, 27 derived values, 32 velocities and accelerations by elapsed time (1 ms at least).
+
+    forget_s: after a longer gap a track's derivatives begin anew.
+    """
     base = df.withColumn("_n", G.normalized(F.col("kp")))
     coords = {f"{n}_{a}": F.col("_n")[n][a] for n in CLINICAL_POINTS for a in "xy"}
     base = base.select(*df.columns, "_n", *(c.alias(k) for k, c in coords.items()))
@@ -103,7 +106,8 @@ def clinical(df: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
     w, moving = track(keys), [f"{n}_{a}" for n in CLINICAL_MOVING for a in "xy"]
     base = base.withColumn("_dt", F.greatest(F.col("t_s") - F.lag("t_s").over(w), F.lit(1e-3)))
     # greatest() skips the first row's missing step, so it is put back
-    base = base.withColumn("_dt", F.when(F.lag("t_s").over(w).isNotNull(), F.col("_dt")))
+    known = F.lag("t_s").over(w).isNotNull()
+    base = base.withColumn("_dt", F.when(known if forget_s is None else known & (F.col("t_s") - F.lag("t_s").over(w) <= forget_s), F.col("_dt")))
     base = base.select("*", *(((F.col(m) - F.lag(m).over(w)) / F.col("_dt")).alias(f"{m}_vel") for m in moving))
     return base.select("*", *(((F.col(f"{m}_vel") - F.lag(f"{m}_vel").over(w)) / F.col("_dt")).alias(f"{m}_acc") for m in moving)).drop("_dt")
 

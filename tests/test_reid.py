@@ -146,16 +146,59 @@ def _rows():
     return out
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame(_rows(), COLUMNS)
-    batch = R.resolve(df)
-    (tmp_path / "in").mkdir()
-    for k in range(3):
-        df.filter((df.frame >= k * 40) & (df.frame < (k + 1) * 40)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = R.resolve_stream(stream).writeStream.format("memory").queryName("people").option("checkpointLocation", str(tmp_path / "ck")).start()
+def _fed(spark, df, path, parts, extra):
+    """A stream of files: each part, then rows far later that move the watermark on."""
+    for part in [*parts, None]:
+        rows = extra if part is None else df.filter(part)
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _streamed(spark, stream, name, tmp_path):
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
     q.processAllAvailable()
     q.stop()
-    key = lambda rows: sorted((r["session"], r["frame"], r["raw_id"], r["event"], r["person_id"], r["into_id"]) for r in rows if r["person_id"] is not None) if rows else []
-    a, b = key(batch.collect()), key(spark.table("people").collect())
-    assert a == b and len(a) == 180
+    return spark.table(name).collect()
+
+
+def _key(rows):
+    return sorted((r["session"], r["frame"], r["raw_id"], r["event"], r["person_id"] or 0, r["into_id"] or 0) for r in rows)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """A frame's rows come in two batches, and frames out of order within the delay."""
+    rows = _rows() + [("x", f, f / FPS, 9, B.tolist(), None, None, None, None, None) for f in range(120)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    end = spark.createDataFrame([("z", 0, 1e6, None, None, None, None, None, None, None)], COLUMNS)
+    late = (df.frame % 7 == 3) | (df.raw_id == 9)
+    parts = []
+    for k in range(3):
+        here = (df.frame >= k * 40) & (df.frame < (k + 1) * 40)
+        parts += [here & ~late, here & late]
+    out = _streamed(spark, R.resolve_stream(_fed(spark, df, str(tmp_path / "in"), parts, end), delay_s=5.0), "people", tmp_path)
+    batch = R.resolve(df).collect()
+    assert _key(out) == _key(batch) and sum(not r["event"] for r in batch) == 300 and any(r["kind"] == "merge" for r in batch)
+    with pytest.raises(ValueError):
+        R.resolve_stream(df, delay_s=0.0)
+
+
+def test_segment_stream_equals_batch(spark, tmp_path):
+    schema = "session string, frame long, t_s double, raw_id long, x double, y double, scale double, aspect double, fill double, hue array<double>, embedding array<double>"
+    rows = [(s, f, f / FPS, 10 * (f // 9) + k, 100.0 * k + f % 5, 50.0, 40.0, 0.5, 0.8, None, None) for s in ("a", "b") for f in range(45) for k in range(4)]
+    df = spark.createDataFrame(rows, schema)
+    end = spark.createDataFrame([("z", 0, 1e6, None, None, None, 0.0, None, None, None, None)], schema)
+    parts = [(df.frame < 20) & (df.raw_id % 2 == 0), (df.frame < 20) & (df.raw_id % 2 == 1), df.frame >= 20]
+    out = _streamed(spark, R.resolve_segments_stream(_fed(spark, df, str(tmp_path / "in"), parts, end), 3, delay_s=10.0), "segments", tmp_path)
+    got = sorted((r["session"], r["frame"], r["raw_id"], r["person_id"]) for r in out if not r["event"])
+    assert got == sorted(map(tuple, R.resolve_segments(df, 3).collect())) and len(got) == 360 and max(r[3] for r in got) == 3
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    df = spark.createDataFrame([("x", f, t, 1, A.tolist(), None, None, None, None, None) for f, t in ((0, 0.0), (1, 1.0), (2, 900.0))], COLUMNS)
+    end = lambda t: spark.createDataFrame([("z", int(t), t, None, None, None, None, None, None, None)], COLUMNS)
+    path = str(tmp_path / "in")
+    for rows in (df.filter("frame < 2"), end(700.0), df.filter("frame = 2"), end(2000.0)):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = _streamed(spark, R.resolve_stream(stream, delay_s=5.0, idle_s=100.0), "idle", tmp_path)
+    assert sorted((r["frame"], r["person_id"]) for r in out if r["session"] == "x") == [(0, 1), (1, 1), (2, 2)]
