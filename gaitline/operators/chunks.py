@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import masks
 from .matching import optimal
+from .reid import Gallery
 
 
 def check_chunking(chunk: int, overlap: int) -> None:
@@ -65,16 +67,24 @@ def velocities(df: DataFrame, keys: list[str], x: Column, y: Column) -> DataFram
     return steps.groupBy(*keys).agg(F.median("sx").alias("vx"), F.median("sy").alias("vy"))
 
 
-def overlap_scores(chunks: DataFrame, overlap: int, stride: int) -> DataFrame:
+def overlap_scores(chunks: DataFrame, overlap: int, stride: int, pixels: bool = False) -> DataFrame:
     """session, chunk_index, prev_id, curr_id, mean_iou, shared: how local ids of a chunk's head lie over those of the previous one's tail.
 
-    chunks: session, chunk_index, local_frame, local_id, box. The mean is over the frames that hold both.
+    chunks: session, chunk_index, local_frame, local_id, box, or with pixels the masks' runs rle. The mean is over the
+    frames that hold both.
     """
     from gaitline.functions.geometry import box_iou
 
+    if pixels:
+        chunks = chunks.withColumn("box", F.col("rle"))
     head = chunks.filter(F.col("local_frame") < overlap).select("session", "chunk_index", F.col("local_frame").alias("at"), F.col("local_id").alias("curr_id"), F.col("box").alias("b"))
     tail = chunks.filter(F.col("local_frame") >= stride).select("session", (F.col("chunk_index") + 1).alias("chunk_index"), (F.col("local_frame") - stride).alias("at"), F.col("local_id").alias("prev_id"), F.col("box").alias("a"))
     both = tail.join(head, ["session", "chunk_index", "at"])
+    if pixels:
+        met = masks.with_shared(both, "a", "b")
+        union = masks.area(F.col("a")) + masks.area(F.col("b")) - F.col("inter")
+        iou = F.coalesce(F.try_divide(F.col("inter"), union), F.lit(0.0))
+        return met.groupBy("session", "chunk_index", "prev_id", "curr_id").agg(F.avg(iou).alias("mean_iou"), F.count(F.lit(1)).alias("shared"))
     return both.groupBy("session", "chunk_index", "prev_id", "curr_id").agg(F.avg(box_iou(F.col("a"), F.col("b"))).alias("mean_iou"), F.count(F.lit(1)).alias("shared"))
 
 
@@ -96,20 +106,26 @@ def anchor_scores(prev: DataFrame, curr: DataFrame, keys: list[str], speed: Data
     return both.groupBy(*keys, "prev_id", "curr_id").agg(F.max(F.greatest(still, shifted)).alias("best_iou")).filter("best_iou > 0")
 
 
-def carry_ids(scores: DataFrame, locals_: DataFrame, least: float, max_ids: int | None = None) -> DataFrame:
+def carry_ids(scores: DataFrame, locals_: DataFrame, least: float, max_ids: int | None = None, gallery: dict | None = None) -> DataFrame:
     """session, chunk_index, local_id, global_id: global ids through all chunks of a session, from 0.
 
     scores: overlap_scores(); locals_: session, chunk_index, local_id, first_seen (local frame), pos. A chunk's ids take those of
     the previous chunk by optimal assignment on mean overlap, kept from `least` up; the others get fresh ids in order
     of appearance, until the next id would reach max_ids. Chunks of a session follow one another, so a session is
     one group: ids, not frames, are what it holds.
+
+    gallery: options of reid.Gallery; locals_ then has vec array<double>, an id's embedding in its chunk, or NULL. Before an id gets a
+    fresh number it may take that of a lost one that it is like; ids lost for too many chunks are forgotten.
     """
     links = scores.select("session", "chunk_index", F.lit(0).alias("kind"), F.col("prev_id").alias("a"), F.col("curr_id").alias("b"), F.col("mean_iou").alias("s"), F.lit(0).cast("long").alias("o"))
     order = (F.col("first_seen") * 1_000_000 + F.col("pos")).cast("long")
-    seen = locals_.select("session", "chunk_index", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("a"), F.col("local_id").alias("b"), F.lit(0.0).alias("s"), order.alias("o"))
+    none = F.lit(None).cast("array<double>")
+    links = links.withColumn("vec", none)
+    seen = locals_.select("session", "chunk_index", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("a"), F.col("local_id").alias("b"), F.lit(0.0).alias("s"), order.alias("o"), (none if gallery is None else F.col("vec")).alias("vec"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict[int, int] = {}
+        lost = None if gallery is None else Gallery(**gallery)
         nxt, out = 0, []
         for c, rows in pdf.groupby("chunk_index", sort=True):
             links_, here = rows[rows["kind"] == 0], rows[rows["kind"] == 1].sort_values(["o", "b"])
@@ -123,10 +139,23 @@ def carry_ids(scores: DataFrame, locals_: DataFrame, least: float, max_ids: int
                 m = np.zeros((len(x), len(y)))
                 m[i, j] = links_["s"]
                 mine = {int(y[q]): int(x[p]) for p, q in optimal(1.0 - m) if m[p, q] >= least and m[p, q] > 0}
+            vecs = {} if lost is None else {int(b): None if v is None else np.array(v, float) for b, v in zip(here["b"], here["vec"])}
             for b in here["b"]:
-                if b not in mine and (max_ids is None or nxt < max_ids):
+                if b in mine:
+                    continue
+                again = None if lost is None else lost.match(vecs[int(b)])
+                if again is not None:
+                    lost.revive(again)
+                    mine[int(b)] = again
+                elif max_ids is None or nxt < max_ids:
                     mine[int(b)] = nxt
                     nxt += 1
+            if lost is not None:
+                for b, gid in mine.items():
+                    lost.observe(gid, vecs.get(b))
+                for gid in set(known.values()) - set(mine.values()):
+                    lost.lose(gid, int(c))
+                lost.forget(int(c))
             out += [(key[0], c, b, g) for b, g in mine.items()]
             known = mine
         return pd.DataFrame(out, columns=["session", "chunk_index", "local_id", "global_id"])

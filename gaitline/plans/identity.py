@@ -245,6 +245,16 @@ def jn11_carried_ids(spark: SparkSession, d: str) -> DataFrame:
     return chunks.carry_ids(chunks.overlap_scores(local, _OVER, _STRIDE), seen, 0.3)
 
 
+@query()
+def str13_gallery_ids(spark: SparkSession, d: str) -> DataFrame:
+    """As jn11_carried_ids, with people who are away for a chunk and are known again by their embedding."""
+    local = _local_chunks(spark, d).filter("(id + chunk_index) % 4 <> 2")
+    like = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.when(k == F.col("id"), 1.0).otherwise(0.0) + ((F.col("chunk_index") + k) % 3) * 0.05)
+    vec = F.transform(like, lambda x: x / F.sqrt(F.aggregate(like, F.lit(0.0), lambda t, y: t + y * y)))
+    seen = local.groupBy("session", "chunk_index", "local_id").agg(F.min("local_frame").alias("first_seen"), F.first(vec).alias("vec")).withColumn("pos", F.col("local_id"))
+    return chunks.carry_ids(chunks.overlap_scores(local, _OVER, _STRIDE), seen, 0.3, gallery={"least": 0.8, "max_age": 3})
+
+
 # --- sets, remaps, pairs of streams ------------------------------------------------------------------------------------
 
 
