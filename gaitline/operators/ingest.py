@@ -54,25 +54,54 @@ def at_frames(df: DataFrame, requested: DataFrame, keys: tuple[str, ...] = ("ses
     return requested.select(*keys, "frame").join(df, [*keys, "frame"], "left")
 
 
+MODES, BACKENDS = ("pose", "segmentation", "both"), ("boxes", "chunked")
+
+
 @dataclass(frozen=True)
 class SessionOptions:
-    """Options of a run, checked when made: ValueError says what doesn't fit."""
+    """Options of a run, checked when made: ValueError says what doesn't fit.
 
+    backend: how segments are tracked, by boxes frame by frame or in chunks; the chunks' options count for the latter only.
+    """
+
+    mode: str = "pose"
+    backend: str = "boxes"
+    fps: float = 15.0
+    window_s: float = 3.0
     chunk_size: int = 600
     overlap: int = 50
+    redetect_every: int | None = None
     max_people: int | None = None
     single: bool = False
+    target: int | None = None
     reidentify: bool = False
     segmentation: bool = False
 
     def __post_init__(self) -> None:
+        if self.mode not in MODES:
+            raise ValueError(f"mode must be one of {MODES}")
+        if self.backend not in BACKENDS:
+            raise ValueError(f"backend must be one of {BACKENDS}")
+        if self.backend != "boxes" and not self.segments():
+            raise ValueError("a segment backend needs a mode with segmentation")
+        if not self.fps > 0 or not self.window_s > 0:
+            raise ValueError("fps and window_s must be positive")
         if self.chunk_size <= 0 or not 0 <= self.overlap < self.chunk_size:
             raise ValueError("chunk_size must be positive and overlap from 0 to below it")
+        if self.redetect_every is not None and not 1 <= self.redetect_every <= self.chunk_size:
+            raise ValueError("redetect_every must be from 1 to chunk_size")
         if self.max_people is not None and self.max_people < 1:
             raise ValueError("max_people must be at least 1")
+        if self.single and self.max_people not in (None, 1):
+            raise ValueError("a single person and max_people over 1 exclude each other")
+        if self.target is not None and self.target < 0:
+            raise ValueError("target must be a track number")
         # the pose path needs no cap to re-identify, the segmentation path does
-        if self.reidentify and self.segmentation and self.people() is None:
+        if self.reidentify and self.segments() and self.people() is None:
             raise ValueError("re-identification of segments needs max_people or a single person")
 
+    def segments(self) -> bool:
+        return self.segmentation or self.mode != "pose"
+
     def people(self) -> int | None:
         return 1 if self.single else self.max_people

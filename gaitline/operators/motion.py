@@ -129,11 +129,20 @@ def synchrony(a: DataFrame, b: DataFrame, window: int, step: int, keys: Sequence
     return g.select(*keys, "frame_start", (F.col("frame_start") + window).alias("frame_end"), F.when(moving, F.try_divide(F.col("c"), F.col("sa") * F.col("sb"))).alias("synchrony"))
 
 
-def proximity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
-    """Distance of two tracks' hips, frame by frame; frames that either lacks are left out."""
+def proximity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("session",), equal: bool = False) -> DataFrame:
+    """Distance of two tracks' hips, frame by frame; frames that either lacks are left out.
+
+    equal: the tracks must have as many frames as each other; an error, when it is computed, where they don't.
+    """
     left = a.select(*keys, "frame", G.hip_center(F.col("kp")).alias("_a"))
     right = b.select(*keys, "frame", G.hip_center(F.col("kp")).alias("_b"))
-    return left.join(right, [*keys, "frame"]).select(*keys, "frame", G.distance(F.col("_a"), F.col("_b")).alias("proximity"))
+    out = left.join(right, [*keys, "frame"]).select(*keys, "frame", G.distance(F.col("_a"), F.col("_b")).alias("proximity"))
+    if not equal:
+        return out
+    counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "_na"), (right, "_nb"))]
+    both = counts[0].join(counts[1], list(keys), "full")
+    same = F.when(F.col("_na").eqNullSafe(F.col("_nb")), True).otherwise(F.raise_error(F.lit("sequences of unequal length")))
+    return out.join(both.select(*keys, same.alias("_same")), list(keys)).filter("_same").drop("_same")
 
 
 def strictly_later(time: Column, window: WindowSpec) -> Column:
