@@ -101,6 +101,55 @@ def test_quality_on_held_out_rows(spark):
     assert (out.predicted == (out.score >= 0.3)).all()
 
 
+def naive_statistics(text):
+    w = WORD.findall(text)
+    low = [x.translate(LOW) for x in w]
+    n, raw = max(len(w), 1), text.encode()
+    size = max(len(raw), 1)
+    share = lambda chars: sum(b in chars for b in raw) / size
+    grams = [tuple(low[i : i + 5]) for i in range(len(low) - 4)]
+    often = Counter(grams)
+    inside = {j for i, g in enumerate(grams) if often[g] > 1 for j in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in raw.split(b"\n"):
+        words = WORD.findall(line.decode())
+        if words:
+            dup += sum(map(len, words)) if line in seen else 0
+            seen.add(line)
+    total = max(sum(map(len, w)), 1)
+    upper, digits, dots, commas = bytes(range(65, 91)), b"0123456789", b".!?", b",;:"
+    letters = upper + bytes(range(97, 123)) + bytes(range(128, 256))
+    other = bytes(b for b in range(256) if b not in digits + letters + dots + commas + b" \t\n\r\x0b\x0c")
+    symbols = b"#*$%&<>{}[]=\\^~@_"
+    beyond = sum((b & 0xC0) == 0x80 for b in raw) / size
+    return [
+        math.log1p(len(w)), sum(min(len(x), 40) for x in w) / n, sum(any(b in symbols for b in x.encode()) for x in w) / n, sum(x == "|" for x in w) / n, share(digits), share(upper), share(dots), share(commas),
+        share(other), raw.count(b"\n") / n, dup / total, len(inside) / n, sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n, beyond, sum(len(x) <= 2 for x in w) / n, sum(len(x) >= 16 for x in w) / n,
+    ]
+
+
+def test_quality_statistics_equal_plain_counts(spark, sf_small):
+    some = [t for t in texts(spark, sf_small).values() if t][:80] + ["", " \n", "a b c d e a b c d e\nx | | é ÄÖ\nx | | é ÄÖ\n", "word " * 30]
+    got = quality.statistics(pa.array(some, pa.large_string()))
+    assert np.allclose(got, [naive_statistics(t) for t in some], rtol=1e-9, atol=1e-12)
+
+
+def test_ridge_equals_one_solve(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    rows = spark.createDataFrame([(r.tolist(), int(k), i % 5 == 0) for i, (r, k) in enumerate(zip(x, y))], "x array<double>, label int, held boolean").repartition(7)
+    model = quality.fit(rows, "label", F.col("held"))
+    z = quality.features(x, x.mean(0), x.std(0))
+    train = np.arange(400) % 5 != 0
+    want = np.linalg.solve(z[train].T @ z[train] + quality.RIDGE * np.eye(z.shape[1]), z[train].T @ y[train])
+    assert np.allclose(model.centre, x.mean(0)) and np.allclose(model.scale, x.std(0)) and np.allclose(model.weights, want, atol=1e-8)
+    knots, values = quality.isotonic(z[~train] @ want, y[~train].astype(float))
+    assert np.allclose(model.knots, knots) and np.allclose(model.values, values)
+    few = quality.fit(rows, "label", F.col("held"), train_rows=100)
+    assert len(few.weights) == len(want) and not np.allclose(few.weights, want)
+
+
 def test_isotonic():
     knots, values = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert values.tolist() == [0.0, 0.5, 1.0] and knots.tolist() == [1.0, 2.5, 4.0]
