@@ -298,9 +298,9 @@ SPREAD = 64
 #: Sets are about a hub up to so many times the distance of a link.
 ORBIT = 2
 #: Rows of pairs, labels or hashes (16 to 24 bytes each) that are broadcast at most; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 #: Shingles (8 bytes each) of hubs that are broadcast at most.
-BROADCAST_SHINGLES = 4_000_000
+BROADCAST_SHINGLES = 500_000
 
 
 def _sided(df: DataFrame) -> DataFrame:

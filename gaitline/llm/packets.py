@@ -11,15 +11,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text for each range, and ranges for each shuffle partition at least.
-RANGE_BYTES, RANGES_EACH = 16 << 20, 4
+#: Bytes of text for each range; ranges for each shuffle partition at least, counted for so many partitions at most.
+RANGE_BYTES, RANGES_EACH, PARTITIONS = 32 << 20, 4, 256
 _U = np.uint64
 
 
 def n_ranges(docs: DataFrame, text: str) -> int:
-    """Ranges of the hash space for a table of texts: by its size, so that a range fits a task at any size."""
+    """Ranges of the hash space for a table of texts: by its size, so that a range fits a task at any size.
+
+    Small tables have as many as keep the cluster busy; a larger one has no more than its size asks for, as every task sends a
+    packet to every range.
+    """
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(RANGES_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(RANGES_EACH * min(partitions, PARTITIONS), -(-size // RANGE_BYTES))
 
 
 def range_of(keys: np.ndarray, n: int) -> np.ndarray:
