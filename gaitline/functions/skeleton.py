@@ -1,4 +1,9 @@
-"""The keypoint vocabulary. All names and indices are fixed values of the published 17-joint and 33-joint layouts."""
+"""The keypoint vocabulary, fixed values of two kinds.
+
+Values of published layouts: COCO17, BLAZEPOSE_OF_COCO, and the landmark numbers of HAND_TIPS, HAND_CURLS, WRIST and MIDDLE_KNUCKLE.
+Values that results are required to have, as they name output columns or decide what these measure: HEAD, LIMBS,
+JOINT_ANGLES, SIGNATURE, CLINICAL_POINTS, CLINICAL_ANGLES and CLINICAL_MOVING.
+"""
 
 from __future__ import annotations
 
