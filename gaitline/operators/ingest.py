@@ -92,8 +92,6 @@ class SessionOptions:
             raise ValueError("redetect_every must be from 1 to chunk_size")
         if self.max_people is not None and self.max_people < 1:
             raise ValueError("max_people must be at least 1")
-        if self.single and self.max_people not in (None, 1):
-            raise ValueError("a single person and max_people over 1 exclude each other")
         if self.target is not None and self.target < 0:
             raise ValueError("target must be a track number")
         # the pose path needs no cap to re-identify, the segmentation path does

@@ -66,7 +66,7 @@ def test_replay(spark):
 
 def test_options():
     assert SessionOptions(mode="both", backend="chunked", reidentify=True, max_people=3).people() == 3 and SessionOptions(reidentify=True).people() is None
-    bad = [dict(mode="x"), dict(backend="y"), dict(backend="chunked"), dict(fps=0), dict(window_s=-1), dict(chunk_size=5, overlap=5), dict(redetect_every=0), dict(max_people=0), dict(single=True, max_people=2), dict(target=-1), dict(mode="segmentation", reidentify=True)]
+    bad = [dict(mode="x"), dict(backend="y"), dict(backend="chunked"), dict(fps=0), dict(window_s=-1), dict(chunk_size=5, overlap=5), dict(redetect_every=0), dict(max_people=0), dict(target=-1), dict(mode="segmentation", reidentify=True)]
     for options in bad:
         with pytest.raises(ValueError):
             SessionOptions(**options)
