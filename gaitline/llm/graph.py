@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .shared import through_disk
 
 MAX_ROUNDS = 60
+#: Edges to a file at least: few edges need few tasks.
+FILE_EDGES = 50_000
+
+
+def _written(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """edges through the shared folder; n: about how many there are, where that is known."""
+    return through_disk(edges if n is None else edges.coalesce(max(4, 2 * n // FILE_EDGES)), "edges")
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -25,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     The neighbours of a node never meet in one task: its least neighbour is aggregated, then joined back.
     Rounds end when nothing changes; each cuts its lineage in the shared folder.
     """
-    now = through_disk(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
+    now = _written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
     mark = _mark(now)
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,7 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = down.join(near, F.col("u") == F.col("c"))
         small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = through_disk(small.filter("u <> v").distinct(), "edges")
+        now = _written(small.filter("u <> v").distinct(), mark[0])
         last, mark = mark, _mark(now)
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -453,7 +453,8 @@ def class_labels(docs: DataFrame, found: DataFrame, doc_id: str, text: str, perc
     named = left.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     left = _open(named.join(_mixed(named), "sig"))
     around = orbits.drop("label").join(_sided(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    around = through_disk(around.join(around.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("hub"), "hub"), "orbits")
+    several = through_disk(around.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("hub"), "hubs")
+    around = through_disk(around.join(_sided(several), "hub"), "orbits")
 
     # at last all pairs across components: of one orbit by what they differ in, the others by buckets
     pairs = _same_orbit(around, percent).unionByName(_other_orbits(left, around, survivors, percent)).distinct()
@@ -471,9 +472,10 @@ def _orbits(left: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     tops = left.join(score, "cls").groupBy("sig").agg(F.max(F.struct("score", "cls")).alias("top")).select("sig", F.col("top.cls").alias("hub"))
     votes = left.join(tops, "sig").groupBy("cls", "label", "hub").agg(F.count(F.lit(1)).alias("c"))
     hubs = through_disk(votes.groupBy("cls", "label").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")), "hubs")
+    small = hubs.count() <= BROADCAST_ROWS
     for _ in range(2):  # a hub's own hub stands for it
         up = hubs.select(F.col("cls").alias("hub"), F.col("hub").alias("up"))
-        hubs = hubs.join(up, "hub", "left").select("cls", "label", F.coalesce("up", "hub").alias("hub"))
+        hubs = hubs.join(F.broadcast(up) if small else up, "hub", "left").select("cls", "label", F.coalesce("up", "hub").alias("hub"))
     hubs = through_disk(hubs, "hubs")
     whole = survivors.select("cls", "n", "shingles")
     own = whole.join(_sided(hubs), "cls")
