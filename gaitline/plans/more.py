@@ -73,7 +73,13 @@ def sc19_raster_iou(spark: SparkSession, d: str) -> DataFrame:
     return raster.polygon_overlaps(pairs, "pa", "pb").select("frame", "a_id", "b_id", r6("iou").alias("iou"))
 
 
-@query()
+_MIXED = "list_transform(generate_series(1, 64), lambda i: 9e-1 * e.vec[i] + (1 - 9e-1) * CAST(v.embedding[i] AS DOUBLE))"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT CAST(label AS BIGINT) AS label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+e(label, n, vec) AS (SELECT label, n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM v WHERE n = 1
+  UNION ALL SELECT label, n, CASE WHEN size < 1e-9 THEN old ELSE list_transform(m, lambda x: x / size) END FROM (SELECT label, n, old, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS size FROM (SELECT v.label, v.n, e.vec AS old, {_MIXED} AS m FROM e JOIN v ON v.label = e.label AND v.n = e.n + 1)))
+SELECT label, CAST(unnest(generate_series(0, 63)) AS INT) AS k, round(unnest(vec), 6) AS x FROM (SELECT label, arg_max(vec, n) AS vec FROM e GROUP BY label)""")
 def wn17_embedding_ema(spark: SparkSession, d: str) -> DataFrame:
     """Running mean embedding of each identity at its end, folded in order and kept at length 1."""
     v = A.appearance(spark, d)
