@@ -78,8 +78,10 @@ def ag20_people_count(spark: SparkSession, d: str) -> DataFrame:
 def ag19_moving_latency(spark: SparkSession, d: str) -> DataFrame:
     from gaitline.operators.motion import track
 
-    mean = F.avg("v").over(track().rowsBetween(-29, 0))
-    return A.signal(spark, d).select("session", "track_id", "frame", r6(mean).alias("mean_latency"), r6(1000 / mean).alias("fps"))
+    sig = A.signal(spark, d).withColumn("mean", F.avg("v").over(track().rowsBetween(-29, 0)))
+    # no latency is no limit, as in the SQL; in Spark a division by zero is an error
+    fps = F.when(F.col("mean") == 0, F.lit(float("inf"))).otherwise(1000 / F.col("mean"))
+    return sig.select("session", "track_id", "frame", r6("mean").alias("mean_latency"), r6(fps).alias("fps"))
 
 
 @query(f"WITH {Q.DET} SELECT frame, det, round(w / h, 6) AS aspect, round({_AREA} / (w * h), 6) AS fill, x1 <= 1 OR y1 <= 1 OR x2 >= {A.WIDTH} - 2 OR y2 >= {A.HEIGHT} - 2 AS on_border FROM det")
