@@ -17,7 +17,7 @@ from . import pose
 from . import sqltext as Q
 from .appearance import _ear, _h, _HEADX, _MW, _p
 from .catalog import ORACLES, query
-from .pose import FPS, ROWS, WINDOW_S, dft, r6
+from .pose import FPS, ROWS, WINDOW_S, dft, r6, rounded
 
 #: Tip of the index finger in the published hand layout; scale of energies in results.
 TIP, SCALE = 8, 987654321.0
@@ -96,7 +96,10 @@ JOIN ps ON ps.track_id = k.track_id AND ps.frame = k.frame JOIN tc ON tc.track_i
 LEFT JOIN ({_FACE_SIGNALS}) fs ON fs.face_idx = k.track_id AND fs.frame = k.frame LEFT JOIN blink ON blink.track_id = k.track_id AND blink.frame = k.frame LEFT JOIN ms ON ms.track_id = k.track_id AND ms.frame = k.frame LEFT JOIN ys ON ys.track_id = k.track_id AND ys.frame = k.frame LEFT JOIN pt ON pt.track_id = k.track_id AND pt.frame = k.frame
 LEFT JOIN ({_HANDS}) hs ON hs.hand_idx = k.track_id AND hs.frame = k.frame LEFT JOIN left_h ON left_h.track_id = k.track_id AND left_h.frame = k.frame LEFT JOIN right_h ON right_h.track_id = k.track_id AND right_h.frame = k.frame""")
 def str01_live_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All blocks: body, windows, face, attention, hands, clinical columns (derivatives begin with the first full window)."""
+    """All blocks: body, windows, face, attention, hands, clinical columns (derivatives begin with the first full window).
+
+    The mouth's window is told where the mouth is, as in the SQL; live.windowed() tells it wherever the face is.
+    """
     df = rows(spark, d)
     head, touch = G.joint_angles(F.col("kp")), G.self_touch_now(F.col("kp"))
     now = {"head_yaw": "yaw", "head_pitch": "pitch", "head_roll": "roll", "mouth_now": "mouth_ratio"}
@@ -105,8 +108,9 @@ def str01_live_rows(spark: SparkSession, d: str) -> DataFrame:
     base = df.withColumns({"self_touch_now": touch, **head, **{k: F.col(v) for k, v in now.items()}})
     keep = ["self_touch_now", *head, *now, *brows, *hand, "t_s", "kp"]
     out = live.windowed(live.signals(base, *_KEYS, *keep), WINDOW, keep=keep).filter("full")
+    out = out.withColumns({c: F.when(F.col("mouth_now").isNotNull(), F.col(c)) for c in ("mouth_rep_freq_hz", "mouth_rep_power_ratio")})
     clinical = prefixed(motion.clinical(out.select(*_KEYS, "t_s", "kp")).select(*_KEYS, *(r6(F.col(c) / 1e3 if c.endswith(("_vel", "_acc")) else c).alias(c) for c in pose.CLINICAL)), "clinical_", *_KEYS)
     out = out.drop("kp", "t_s", "full").join(clinical, _KEYS).join(attention(df), _KEYS, "left")
     out = out.withColumn("movement_energy", F.col("movement_energy") / SCALE).withColumn("attention_score", F.when(F.col("head_yaw").isNotNull(), F.coalesce("attention_score", F.lit(0.0))))
     exact = {*_KEYS, "attention_target", "attention_score"}
-    return out.select(*((F.round(c, 9) if c == "attention_score" else F.col(c) if c in exact else r6(c)).alias("mouth_ratio" if c == "mouth_now" else c) for c in out.columns))
+    return out.select(*((rounded(c, 9) if c == "attention_score" else F.col(c) if c in exact else r6(c)).alias("mouth_ratio" if c == "mouth_now" else c) for c in out.columns))

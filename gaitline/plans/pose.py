@@ -22,8 +22,16 @@ MEGA = 1e6
 TRACK = list(motion.TRACK)
 
 
-def r6(x: Column) -> Column:
-    return F.round(x, 6)
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double rounded as the SQL rounds: x * 10^digits to the nearest whole number, halves away from zero. F.round takes the
+    shortest decimal of x instead, and so rounds 2.0265625 up, whose double times 10^6 is less than a half above 2026562.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
+def r6(x: Column | str) -> Column:
+    return rounded(x, 6)
 
 
 def s6(x: str, name: str) -> str:
