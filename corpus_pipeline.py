@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gaitline.llm import decontam, jaccard, langid, mixing
 from gaitline.llm.queries import SHARDS
 from gaitline.llm.sharding import place
-from gaitline.llm.shared import read, steady_reads, through_disk
+from gaitline.llm.shared import lean_driver, read, steady_reads, through_disk
 from gaitline.sources.files import settled
 
 #: A language must be the likelier one of any two.
@@ -23,7 +23,7 @@ MIN_SCORE = 0.5
 
 def tidy(spark: SparkSession) -> None:
     """Has the driver's JVM give back what the plans of earlier stages took: there are hundreds, and its memory is small."""
-    spark.sparkContext._jvm.System.gc()
+    lean_driver(spark)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window as W
 from .graph import components
 from .kernel import as_strings, grams, mix, in_parts, words_of, Words
 from .packets import cuts, n_ranges, pack, pack_sorted, unpack, unpack_sorted
-from .shared import through_disk
+from .shared import lean_driver, through_disk
 
 WORDS, PERCENT = 5, 80
 #: Size bands grow by this factor; hashes that a task gathers before it sends them.
@@ -405,6 +405,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 
 def _labels(edges: list[DataFrame]) -> DataFrame:
+    lean_driver(edges[0].sparkSession)
     return through_disk(components(_all(edges)).withColumnRenamed("node", "cls"), "labels")
 
 
@@ -551,6 +552,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     Rows of equal text are one set; rows that repeat an id with other texts each join their own component; key, a
     hash of the text, tells them apart. Other columns are not looked at. Shingles are 64-bit hashes.
     """
+    lean_driver(docs.sparkSession)
     found = sets(docs, doc_id, text, percent)
     labels = class_labels(docs, found, doc_id, text, percent)
     # one row a set: of sets with several documents or links the smallest id, of each component the smallest of these

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,33 @@ def steady_reads(spark: SparkSession) -> None:
     spark.conf.set(_VECTORED, "false")
 
 
+#: Threads of each of the driver's pools for exchanges: Spark starts one for each exchange, up to 128 or 1,024 of them, and keeps
+#: it for a minute, so that hundreds of small stages hold hundreds of threads with their stacks and buffers.
+EXCHANGE_THREADS = 16
+_POOLS = ("broadcastExchange", "shuffleExchange", "resultQueryStage")
+
+
+def lean_driver(spark: SparkSession) -> None:
+    """Has the driver's JVM keep few threads for exchanges and little free heap, and collects its garbage; for plans of many
+    small stages.
+
+    Spark reads the pools' sizes at the first exchange of the JVM: where others came before, theirs stay. A JVM
+    without these options keeps its own. Results don't depend on either.
+    """
+    conf = spark._jsparkSession.sessionState().conf()
+    for pool in _POOLS:
+        conf.setConfString(f"spark.sql.{pool}.maxThreadThreshold", str(EXCHANGE_THREADS))
+    jvm = spark.sparkContext._jvm
+    try:
+        kind = jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+        options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind)
+        options.setVMOption("MinHeapFreeRatio", "20")
+        options.setVMOption("MaxHeapFreeRatio", "40")
+    except Py4JError:
+        pass
+    jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.option(_VECTORED, "false").parquet(f"{sf_dir}/{table}.parquet")
 
