@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,17 +25,47 @@ from .pose import FPS, r6
 
 # --- similarities ---------------------------------------------------------------------------------------------
 
-_BLOCKS = 16
+_BLOCK_ROWS = 512
 _DOT = "list_sum(list_transform(generate_series(1, 64), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a_id < b_id and the dot product of the pairs of two blocks, or of one with itself. Products are added in the order of
+    the dimensions, as the SQL adds them; NULL without a vector.
+    """
+    table = pa.Table.from_batches(batches)
+    block, ids = table.column("block").to_numpy(), table.column("vec_id").to_numpy()
+    lists = table.column("vec").combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    vec = np.full((len(ids), int(size.max())), np.nan)
+    vec[np.arange(vec.shape[1]) < size[:, None]] = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    x, y = (table.column(c)[0].as_py() for c in "xy")
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    across = np.ascontiguousarray(vec[right].T)
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        dot = np.zeros((len(rows), len(right)))
+        for k in range(vec.shape[1]):
+            dot += vec[rows, k][:, None] * across[k]
+        a, b = np.broadcast_to(ids[rows][:, None], dot.shape), np.broadcast_to(ids[right], dot.shape)
+        some = a < b if x == y else a != b
+        a, b, dot = a[some], b[some], dot[some]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(dot, mask=np.isnan(dot))], ["a_id", "b_id", "dot"])
+
+
 @query(f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(greatest(0e0, least(1e0, ({_DOT} + 1) / 2)), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def sc30_embedding_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs within a label; each left vector meets the right ones block by block, so that no label is one task's."""
+    """All pairs within a label: its vectors are dealt into blocks of about _BLOCK_ROWS, and two blocks meet in a task."""
     v = A.appearance(spark, d)
-    a = v.select("label", F.col("vec_id").alias("a_id"), F.col("vec").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))).alias("block"))
-    b = v.select("label", F.col("vec_id").alias("b_id"), F.col("vec").alias("vb"), F.pmod(F.xxhash64("vec_id"), F.lit(_BLOCKS)).cast("int").alias("block"))
-    return a.join(b, ["label", "block"]).filter("a_id < b_id").select("a_id", "b_id", r6(G.embedding_similarity(F.col("va"), F.col("vb"))).alias("similarity"))
+    most = v.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-most // _BLOCK_ROWS))
+    own = v.filter("vec_id is not null and label is not null").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    # block x meets blocks 0 to x as the one and x to n - 1 as the other
+    met = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
+    sent = own.select("label", "vec_id", "vec", "block", met).select("label", "vec_id", "vec", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    out = sent.repartition("label", "x", "y").groupBy("label", "x", "y").applyInArrow(_block_pairs, "a_id long, b_id long, dot double")
+    similarity = F.when(F.col("dot").isNotNull(), G.clip((F.col("dot") + 1.0) / 2.0, 0.0, 1.0))
+    return out.select("a_id", "b_id", r6(similarity).alias("similarity"))
 
 
 _SIGS = ", ".join(f"CASE WHEN {Q.TORSO} >= 1e-6 THEN {Q.dist(Q.joint(a), Q.joint(b))} / {Q.TORSO} END" for a, b in SIGNATURE.values())

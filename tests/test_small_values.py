@@ -57,3 +57,11 @@ def test_live_rows_of_a_face_without_a_mouth(spark, events):
     assert math.isnan(at["mouth_ratio"]) and not math.isnan(at["head_yaw"]) and math.isnan(at["mouth_rep_freq_hz"]) and math.isnan(at["mouth_rep_power_ratio"])
     assert got["mouth_rep_power_ratio"].notna().any()
     assert rows_of(got) == rows_of(con.execute(ORACLES["str01_live_rows"]).df())
+
+
+def test_similarity_across_blocks(spark, sf_small, duck, monkeypatch):
+    from gaitline.plans import appearance
+
+    monkeypatch.setattr(appearance, "_BLOCK_ROWS", 7)
+    got = QUERIES["sc30_embedding_similarity"](spark, sf_small).toPandas()
+    assert rows_of(got) == rows_of(duck.execute(ORACLES["sc30_embedding_similarity"]).df())
